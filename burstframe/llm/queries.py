@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import decontam, langid, packing, quality, simhash, tokens, toxicity
+from . import decontam, langid, packing, pii, quality, simhash, suffix, tokens, toxicity, urls
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.found(docs, pii.detector(docs))
+
+
 def op3_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.toxic_spans(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -24,10 +29,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filtered(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identified(docs, *langid.train(docs))
@@ -42,8 +55,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_toxic_spans, op4_quality_rules, op6_decontamination, op8_language_id, op9_token_counts, op10_simhash)}
+    every = (op1_best_fit_packing, op2_pii, op3_toxic_spans, op4_quality_rules, op5_suffix_array, op6_decontamination, op7_url_filters, op8_language_id, op9_token_counts, op10_simhash)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": decontam.oracle()}
+    return {"op5_suffix_array": suffix.oracle(), "op6_decontamination": decontam.oracle(), "op7_url_filters": urls.oracle()}
