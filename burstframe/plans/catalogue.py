@@ -1,15 +1,274 @@
-"""The catalogue of queries and the SQL for each."""
+"""The catalogue of queries; each runs over its whole tables. Their SQL is in ``oracles``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import scores, strings
+from ..operators import bursts, cache, compositions, features, plan, report, select, sinks
+from ..session import cut, table
+from . import oracles, tables
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _r(*names: str) -> list:
+    return [F.round(n, 9).alias(n) for n in names]
+
+
+# Bursts
+
+
+@query
+def adaptive_dt(spark: SparkSession, sf: str) -> DataFrame:
+    return bursts.adaptive_gap(tables.photos(spark, sf))
+
+
+def _delta(spark: SparkSession, sf: str) -> float:
+    return bursts.adaptive_gap(tables.photos(spark, sf)).first()["delta_s"]
+
+
+@query
+def burst_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return bursts.candidates(tables.photos(spark, sf), _delta(spark, sf))
+
+
+@query
+def burst_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return bursts.similar_edges(tables.photos(spark, sf), tables.features(spark, sf), _delta(spark, sf), 0.95, 6)
+
+
+@query
+def hash_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return bursts.similar_edges(tables.photos(spark, sf), tables.hashes(spark, sf), _delta(spark, sf), 0.95, 6)
+
+
+@query
+def burst_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return bursts.bursts(tables.plain(tables.photos(spark, sf)), tables.features(spark, sf))
+
+
+@query
+def burst_groups_adaptive(spark: SparkSession, sf: str) -> DataFrame:
+    """Without faces the default, adaptive thresholds come down to .925."""
+    none = tables.features(spark, sf).select(F.lit(None).cast("array<struct<area:double>>").alias("faces"))
+    t = bursts.thresholds(none).first()["burst_similarity"]
+    return bursts.bursts(tables.plain(tables.photos(spark, sf)), tables.features(spark, sf), similarity=t)
+
+
+@query
+def burst_groups_forced(spark: SparkSession, sf: str) -> DataFrame:
+    return bursts.bursts(tables.photos(spark, sf), tables.features(spark, sf))
+
+
+@query
+def burst_summary(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = burst_groups(spark, sf).groupBy("group_id").agg(F.count("*").alias("photos"))
+    return sizes.groupBy("photos").agg(F.count("*").alias("bursts"))
+
+
+@query
+def threshold_bias(spark: SparkSession, sf: str) -> DataFrame:
+    return bursts.thresholds(tables.faces(spark, sf)).select(*_r("share", "bias", "burst_similarity", "composition_similarity"))
+
+
+# Scores
+
+
+@query
+def scene_weights(spark: SparkSession, sf: str) -> DataFrame:
+    n, largest = F.coalesce(F.size("faces"), F.lit(0)), F.coalesce(F.array_max(F.transform("faces", lambda f: f["area"])), F.lit(0.0))
+    n = F.when(F.col("faces").isNull(), 0).otherwise(n)
+    return tables.faces(spark, sf).select("photo_id", scores.scene(n, largest).alias("scene"), *(F.round(scores.weight(p, n, largest), 9).alias(f"w_{p}") for p in scores.PARTS))
+
+
+@query
+def face_bonus(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.faces(spark, sf).select("photo_id", F.round(scores.face_bonus(F.col("faces")), 9).alias("face_bonus"))
+
+
+def _scored(spark: SparkSession, sf: str, group: str = "group_id") -> DataFrame:
+    return select.scored(tables.members(spark, sf), group=group)
+
+
+@query
+def face_sharpness_norm(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf).select("group_id", "photo_id", *_r("face_bonus"))
+
+
+@query
+def tech_score_z(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf).select("group_id", "photo_id", *_r("sharpness", "tech"))
+
+
+@query
+def final_score(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf).select("group_id", "photo_id", "scene", *_r("tech", "aesthetic", "composition", "face_bonus", "value"))
+
+
+def _picks(spark: SparkSession, sf: str) -> DataFrame:
+    return select.top_k(_scored(spark, sf), 3)
+
+
+@query
+def topk_k1(spark: SparkSession, sf: str) -> DataFrame:
+    return _picks(spark, sf).select("group_id", "photo_id", "rank", "verdict", *_r("value"))
+
+
+@query
+def topk_k2_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    return select.top_k(_scored(spark, sf, "composition_id"), 2, "composition_id").select("composition_id", "photo_id", "rank", "verdict")
+
+
+@query
+def auto_k2(spark: SparkSession, sf: str) -> DataFrame:
+    return select.top_auto(_scored(spark, sf, "composition_id"), "composition_id").select("composition_id", "photo_id", "rank", "verdict")
+
+
+# Compositions
+
+
+@query
+def composition_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return compositions.similar_pairs(tables.survivors(spark, sf), 0.93)
+
+
+@query
+def raw_embedding_pairs_030(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw vectors are nearly random, so this looks far below any default threshold."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("photo_id"), "embedding")
+    return compositions.similar_pairs(e, 0.30)
+
+
+@query
+def composition_peel(spark: SparkSession, sf: str) -> DataFrame:
+    return compositions.compositions(tables.survivors(spark, sf))
+
+
+# Plan, reports
+
+
+def _composed(spark: SparkSession, sf: str) -> DataFrame:
+    """What compositions of the bursts' picks keep."""
+    kept = _picks(spark, sf).where("verdict = 'kept'").select("photo_id")
+    again = select.scored(tables.members(spark, sf).join(kept, "photo_id"), group="composition_id")
+    return select.top_auto(again, "composition_id")
+
+
+@query
+def plan_keep_reject(spark: SparkSession, sf: str) -> DataFrame:
+    m = tables.members(spark, sf)
+    return plan.with_destination(plan.planned(m, _picks(spark, sf)), m)
+
+
+@query
+def plan_composed(spark: SparkSession, sf: str) -> DataFrame:
+    m = tables.members(spark, sf)
+    return plan.with_destination(plan.planned(m, _picks(spark, sf), cut(_composed(spark, sf))), m)
+
+
+@query
+def override_flip(spark: SparkSession, sf: str) -> DataFrame:
+    over = table(spark, sf, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("photo_id"))
+    return plan.reviewed(_picks(spark, sf), over)
+
+
+@query
+def report_counts(spark: SparkSession, sf: str) -> DataFrame:
+    m, picks = tables.members(spark, sf), cut(_picks(spark, sf))
+    return report.counters(m, picks, plan.planned(m, picks))
+
+
+@query
+def report_counts_composed(spark: SparkSession, sf: str) -> DataFrame:
+    m, picks, made = tables.members(spark, sf), _picks(spark, sf), cut(_composed(spark, sf))
+    return report.counters(m, picks, plan.planned(m, picks, made), made)
+
+
+@query
+def report_nested(spark: SparkSession, sf: str) -> DataFrame:
+    return report.nested(tables.members(spark, sf), _picks(spark, sf))
+
+
+@query
+def progress_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    return report.snapshot(tables.progress(spark, sf))
+
+
+@query
+def export_names(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.export_names(table(spark, sf, "orders").select(F.col("o_orderkey").alias("photo_id"), F.concat(F.lit("img"), F.col("o_custkey").cast("string"), F.lit(".jpg")).alias("name")))
+
+
+# Pixels
+
+
+def _pixels(score: str) -> None:
+    def of(spark: SparkSession, sf: str) -> DataFrame:
+        return features.extracted(tables.images(spark, sf)).select("photo_id", *_r(score))
+
+    QUERIES[{"wb": "wb_px", "sharpness_raw": "sharpness_px"}.get(score, f"{score}_px")] = of
+
+
+for _score in features.SCORES:
+    _pixels(_score)
+
+
+# Content, names
+
+
+@query
+def content_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    return cache.deduplicated(tables.contents(spark, sf))
+
+
+@query
+def cache_probe(spark: SparkSession, sf: str) -> DataFrame:
+    return cache.probed(tables.contents(spark, sf), tables.cached(spark, sf)).select("photo_id", "miss")
+
+
+@query
+def cache_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    old, photos = tables.cached(spark, sf), tables.contents(spark, sf)
+    fresh = cache.probed(photos, old).where("miss").select("content_key", F.lit(None).cast("array<double>").alias("embedding"), F.array(F.lit(2.0)).alias("faces"), (F.col("photo_id") + 1_000_000).alias("created_at"))
+    return cache.upserted(old, fresh).select("content_key", F.col("schema_version").cast("bigint").alias("schema_version"), "created_at")
+
+
+@query
+def ext_classify(spark: SparkSession, sf: str) -> DataFrame:
+    p = F.col("path")
+    return tables.paths(spark, sf).select("doc_id", strings.file_name(p).alias("name"), strings.extension(p).alias("extension"), strings.photo_format(p).alias("format"), strings.raw_kind(p).alias("raw_kind"))
+
+
+@query
+def exif_subsec(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id")
+    digits = F.when(k % 2 == 0, F.lpad((k % 1000).cast("string"), 3, "0")).when(k % 3 == 0, F.lit("none")).otherwise((k % 12345).cast("string"))
+    return table(spark, sf, "events").select("event_id", strings.subsecond_ms(digits).alias("ms"), strings.subsecond_ms(digits, False).alias("exact_ms"))
+
+
+@query
+def html_escape(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", strings.html_escaped(F.col("html")).alias("escaped"))
+
+
+@query
+def rank_parse(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.answers(spark, sf).select("conv_id", "turn", F.explode(strings.ranked_images(F.col("answer"))).alias("r")).select("conv_id", "turn", "r.*")
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.all_sql()
