@@ -23,7 +23,8 @@ from .quality import _labelled
 SAMPLE = 2000
 BITS = 18
 PREFIXES = (3, 4, 5, 6)
-PURITY, SUPPORT = 0.9, 4
+#: A feature is toxic from this share of its rate, if so many toxic documents have it, and such a share of them.
+PURITY, SUPPORT, SUPPORT_SHARE = 0.95, 4, 0.02
 CHAIN = 512
 ROUNDS, RATE, DECAY = 40, 0.5, 1e-3
 #: A token is in a span from this marginal; a document is reported from this sum of such tokens' marginals
@@ -143,13 +144,23 @@ def fit(column: pa.Array, toxic: np.ndarray, rounds: int = ROUNDS) -> Field:
         return Field(weights, -20.0, transition)
     u, first, which = np.unique(h, return_index=True, return_inverse=True)
     own, near = _own_features(data, starts[first], ends[first], u), _near_features(u)
-    # Purity of each feature by documents; clean documents are weighed up to the toxic ones' number.
-    df = np.zeros((2, 1 << BITS))
+    # Purity of each feature by tokens: its rate in toxic documents against that in clean ones. Equal documents count once.
+    once = np.zeros(n, bool)
+    whole = texts.sums_by(h.view(np.int64).astype(float) % 1e9, texts.per_text(text, n))
+    once[np.unique(np.stack([whole, np.diff(texts.per_text(text, n))]), axis=1, return_index=True)[1]] = True
+    used = once[text]
+    sides = [used & (toxic[text] == k) for k in (0, 1)]
+    counts_of, documents = np.zeros((2, 1 << BITS)), np.zeros(1 << BITS)
     for k in range(own.shape[1]):
-        pair = np.unique(text.astype(np.int64) << BITS | own[which, k])
-        np.add.at(df, (toxic[pair >> BITS].astype(int), pair & ((1 << BITS) - 1)), 1)
-    balance = max(1.0, (toxic == 1).sum() / max(1, (toxic == 0).sum()))
-    pure = (df[1] >= SUPPORT) & (df[1] / (df[1] + df[0] * balance + 0.2) >= PURITY)
+        slot = own[which, k]
+        new = np.ones(1, bool) if k == 0 else (own[:, :k] != own[:, [k]]).all(axis=1)[which]
+        for side in (0, 1):
+            counts_of[side] += np.bincount(slot[sides[side] & new], minlength=1 << BITS)
+        pair = np.unique(text[sides[1] & new].astype(np.int64) << BITS | slot[sides[1] & new])
+        documents += np.bincount(pair & ((1 << BITS) - 1), minlength=1 << BITS)
+    rate = (counts_of + [[1.0], [0.0]]) / np.maximum([[sides[0].sum()], [sides[1].sum()]], 1)
+    least = max(SUPPORT, SUPPORT_SHARE * (once & (toxic == 1)).sum())
+    pure = (documents >= least) & (rate[1] / (rate[0] + rate[1] + 1e-300) >= PURITY)
     y = (pure[own].any(axis=1)[which] & (toxic[text] == 1)).astype(float)
     # Long texts are several chains in training, so that all have similar lengths.
     begin = texts.per_text(text, n)
