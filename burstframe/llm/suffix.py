@@ -23,7 +23,7 @@ from . import texts
 
 WIDTH, GRAM = 50, 12
 #: Distinct pieces in a shard.
-PER_SHARD = 15_000
+PER_SHARD = 4_000
 #: Larger alphabets are written in two digits.
 ALPHABET = 1024
 
