@@ -8,14 +8,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def sessions(photos: DataFrame, gap_s: float, late_s: float) -> DataFrame:
-    """(first_at, last_at, photos) of runs of photos no more than ``gap_s`` apart, once complete.
+    """(camera, first_at, last_at, photos) of each camera's runs of photos no more than ``gap_s`` apart, once complete.
 
-    ``photos`` streams photo_id and captured_at. A photo later than ``late_s`` is dropped. These are stretches
+    ``photos`` streams photo_id, camera and captured_at. A photo later than ``late_s`` is dropped. These are stretches
     of time; which photos of one are alike is for the batch operators.
     """
     timed = photos.where("captured_at IS NOT NULL").withWatermark("captured_at", f"{int(late_s * 1000)} milliseconds")
     w = F.session_window("captured_at", f"{int(gap_s * 1000)} milliseconds")
-    return timed.groupBy(w).agg(F.min("captured_at").alias("first_at"), F.max("captured_at").alias("last_at"), F.count("*").alias("photos")).drop("session_window")
+    return timed.groupBy("camera", w).agg(F.min("captured_at").alias("first_at"), F.max("captured_at").alias("last_at"), F.count("*").alias("photos")).drop("session_window")
 
 
 def latest_ticks(log: DataFrame) -> DataFrame:
