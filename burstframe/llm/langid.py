@@ -207,7 +207,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, vocabulary: str = VOCABULARY) -
     # Bounded by ``sample`` ids for each language, so broadcasting them doesn't grow with the corpus.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     chosen = labelled.withColumn("rank", rank).where(F.col("rank") <= sample).select(F.col("lang").alias("__lang"), F.col("id").alias("__id"))
-    rows = docs.join(F.broadcast(chosen), (docs["doc_id"].cast("bigint") == F.col("__id")) & (docs["lang"] == F.col("__lang"))).select("__id", "__lang", "text").collect()
+    own = docs.select(F.col("doc_id").cast("bigint").alias("__doc"), F.col("lang").alias("__of"), "text")
+    rows = own.join(F.broadcast(chosen), (F.col("__doc") == F.col("__id")) & (F.col("__of") == F.col("__lang"))).select("__id", "__lang", "text").collect()
     samples = [(r["__lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["__lang"], r["__id"], r["text"]))]
     words = word_counts(samples)
     return sorted(words), fit(Pieces(vocabulary), words) if words else np.zeros((0, 0))

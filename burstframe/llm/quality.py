@@ -180,7 +180,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> Data
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("__id"), F.col(label).cast("int").alias("y"))
     chosen = chosen.groupBy("__id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("__id"), "__id").limit(most)
     # Bounded by ``most`` rows of two integers, so broadcasting it doesn't grow with the corpus.
-    return docs.where("text IS NOT NULL").join(F.broadcast(chosen), docs["doc_id"].cast("bigint") == chosen["__id"]).select("text", "y", "__id")
+    own = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("__doc"), "text")
+    return own.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("text", "y", "__id")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
