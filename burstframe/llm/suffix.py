@@ -6,7 +6,8 @@ hold everything that may repeat, and nothing else: among the ``WIDTH - GRAM + 1`
 passages have equal anchors. The passages of one text with one anchor form a piece, a stretch of
 its words; pieces whose anchor occurs nowhere else are dropped, equal pieces are one, and the rest are
 dealt to shards by their anchor. A shard's array is made by induced sorting, and the common prefixes of
-neighbouring suffixes, computed in text order, tell which of its passages occur twice.
+neighbouring suffixes, computed in text order, tell which of its passages occur twice. The few anchors
+with more distinct pieces than a shard holds are spread over shards, and the hashes of their passages compared.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from ..session import cut
 from . import texts
 
 WIDTH, GRAM = 50, 12
-#: Distinct pieces in a shard.
-PER_SHARD = 4_000
+#: Distinct pieces in a shard. An anchor with more is dealt to several shards, whose passages are then compared by hash.
+PER_SHARD = 2_000
 #: Larger alphabets are written in two digits.
 ALPHABET = 1024
+#: Strings that come up in recursion are sorted by doubling if they are no longer than SHORT, or longer than this share of the string they come from.
+SHORT, SHRINK = 8192, 0.75
 
 
 def _doubling(s: np.ndarray) -> np.ndarray:
@@ -43,34 +46,35 @@ def _doubling(s: np.ndarray) -> np.ndarray:
         step *= 2
 
 
-def _ranks_in_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of ascending keys: each one's place among its equals, the distinct keys, how many there are of each."""
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    size = np.diff(np.append(first, len(keys)))
-    return np.arange(len(keys)) - np.repeat(first, size), keys[first], size
-
-
 def _induce(t: np.ndarray, smaller: np.ndarray, leftmost: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """All suffixes in order, from the leftmost-smaller ones in the order given.
 
     Buckets (suffixes of one first symbol) are passed through from the least to place the larger
     type, and back to place the smaller type. What a bucket puts elsewhere moves as one array.
     """
-    n = len(t)
-    sa = np.zeros(n, np.int64)
+    sa = np.zeros(len(t), np.int32)
     head, tail = starts.copy(), ends.copy()
     used = np.flatnonzero(ends > starts).tolist()
-    by = np.argsort(t[leftmost], kind="stable")
-    seeds = leftmost[by]
-    at = np.searchsorted(t[seeds], np.arange(len(starts) + 1))
+    seeds = leftmost[np.argsort(t[leftmost], kind="stable")]
+    at = np.searchsorted(t[seeds], np.arange(len(starts) + 1)).tolist()
+    count = np.arange(len(t) + 1, dtype=np.int32)
 
     def put(j: np.ndarray, right: bool) -> None:
-        if not len(j):
+        n = len(j)
+        if n == 0:
             return
         keys = t[j]
-        order = np.argsort(keys, kind="stable")
-        j, keys = j[order], keys[order]
-        place, key, size = _ranks_in_runs(keys)
+        if n > 1:
+            order = keys.argsort(kind="stable")
+            j, keys = j[order], keys[order]
+        # Each one's place among those of its bucket.
+        new = np.empty(n + 1, bool)
+        new[0] = new[n] = True
+        np.not_equal(keys[1:], keys[:-1], out=new[1:n])
+        first = new.nonzero()[0]
+        size = first[1:] - first[:-1]
+        place = count[:n] - np.repeat(first[:-1], size)
+        key = keys[first[:-1]]
         if right:
             sa[tail[keys] - 1 - place] = j
             tail[key] -= size
@@ -78,7 +82,7 @@ def _induce(t: np.ndarray, smaller: np.ndarray, leftmost: np.ndarray, starts: np
             sa[head[keys] + place] = j
             head[key] += size
 
-    put(np.array([n - 1]), False)
+    put(np.array([len(t) - 1]), False)
     for c in used:
         low = starts[c]
         while low < head[c]:
@@ -100,55 +104,58 @@ def _induce(t: np.ndarray, smaller: np.ndarray, leftmost: np.ndarray, starts: np
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Starts of the suffixes of ``s`` (whole numbers from 0) in their order; an end comes before any symbol."""
-    s = np.asarray(s, np.int64)
+    s = np.asarray(s, np.int32)
     if len(s) < 2:
         return np.arange(len(s))
     most = int(s.max()) + 1
     if most > ALPHABET:
         base = int(np.ceil(np.sqrt(most)))
-        both = suffix_array_small(np.stack([s // base, s % base], axis=1).ravel(), base)
+        both = _sorted_by_induction(np.stack([s // base, s % base], axis=1).ravel(), base)
         return both[both % 2 == 0] // 2
-    return suffix_array_small(s, most)
-
-
-def suffix_array_small(s: np.ndarray, most: int) -> np.ndarray:
+    return _sorted_by_induction(s, most)
+
+
+def _named(t: np.ndarray, order: np.ndarray, leftmost: np.ndarray) -> np.ndarray:
+    """The substrings from one leftmost-smaller position to the next by their rank, equal ones alike, in order of place."""
+    n, m = len(t), len(leftmost)
+    stop = np.full(n, n - 1, np.int32)
+    stop[leftmost[:-1]] = leftmost[1:]
+    length = stop[order] - order + 1
+    final = order == leftmost[-1]
+    same = np.zeros(m, bool)
+    k = np.flatnonzero((length[1:] == length[:-1]) & ~final[1:] & ~final[:-1]) + 1
+    if len(k):
+        first = np.append(0, np.cumsum(length[k])[:-1])
+        inner = np.arange(length[k].sum(), dtype=np.int32) - np.repeat(first, length[k])
+        equal = t[np.repeat(order[k], length[k]) + inner] == t[np.repeat(order[k - 1], length[k]) + inner]
+        same[k] = np.logical_and.reduceat(equal, first)
+    names = np.empty(n, np.int32)
+    names[order] = np.cumsum(~same) - 1
+    return names[leftmost]
+
+
+def _sorted_by_induction(s: np.ndarray, most: int) -> np.ndarray:
     """Induced sorting of a string over an alphabet of ``most`` symbols, each a bucket."""
-    n = len(s)
-    t = s.astype(np.uint16 if most <= 1 << 16 else np.int64)
-    size = np.bincount(s, minlength=most)
-    ends = np.cumsum(size)
-    starts = ends - size
+    t = s.astype(np.uint16 if most <= 1 << 16 else np.int32)
+    ends = np.cumsum(np.bincount(t, minlength=most))
+    starts = np.append(0, ends[:-1])
     # A suffix is of the smaller type if its first run of one symbol is followed by a greater one.
-    last = np.flatnonzero(np.append(s[1:] != s[:-1], True))
-    up = np.append(s[last[:-1]] < s[last[:-1] + 1], False)
+    last = np.flatnonzero(np.append(t[1:] != t[:-1], True))
+    up = np.append(t[last[:-1]] < t[last[:-1] + 1], False)
     smaller = np.repeat(up, np.diff(np.append(-1, last)))
-    leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
-    m = len(leftmost)
-    if m:
+    leftmost = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
+    del s, last, up
+    if len(leftmost):
         order = _induce(t, smaller, leftmost, starts, ends)
-        mark = np.zeros(n, bool)
+        mark = np.zeros(len(t), bool)
         mark[leftmost] = True
         order = order[mark[order]]
-        # Name the substrings from one leftmost-smaller position to the next, equal ones alike.
-        stop = np.full(n, n - 1)
-        stop[leftmost[:-1]] = leftmost[1:]
-        length = stop[order] - order + 1
-        final = order == leftmost[-1]
-        same = np.zeros(m, bool)
-        k = np.flatnonzero((length[1:] == length[:-1]) & ~final[1:] & ~final[:-1]) + 1
-        if len(k):
-            first = np.append(0, np.cumsum(length[k])[:-1])
-            inner = np.arange(length[k].sum()) - np.repeat(first, length[k])
-            equal = s[np.repeat(order[k], length[k]) + inner] == s[np.repeat(order[k - 1], length[k]) + inner]
-            same[k] = np.logical_and.reduceat(equal, first)
-        name = np.cumsum(~same) - 1
-        if name[-1] < m - 1:
-            names = np.empty(n, np.int64)
-            names[order] = name
-            reduced = names[leftmost]
-            # Two digits for each name must make a shorter string; else this part is sorted by doubling.
-            deeper = suffix_array if name[-1] < ALPHABET or 2 * m < n else _doubling
-            order = leftmost[deeper(reduced)]
+        reduced = _named(t, order, leftmost)
+        names = int(reduced.max()) + 1
+        if names < len(leftmost):
+            # Recursion must shrink the string, though names may take two digits; and short strings have too few suffixes to a bucket.
+            shrinks = (1 if names <= ALPHABET else 2) * len(leftmost) <= SHRINK * len(t)
+            order = leftmost[(suffix_array if shrinks and len(leftmost) > SHORT else _doubling)(reduced)]
         leftmost = order
     return _induce(t, smaller, leftmost, starts, ends)
 
@@ -160,7 +167,7 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
     place earlier; the others, whose sum is small, are compared symbol by symbol, all at once.
     """
     n = len(s)
-    phi = np.full(n, -1)
+    phi = np.full(n, -1, np.int32)
     phi[sa[1:]] = sa[:-1]
     ended = np.append(s, -1)
     own = np.ones(n, bool)
@@ -240,7 +247,7 @@ def anchored(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(anchor, piece, many, words): the words of each wanted piece, from one text that holds it."""
+    """(anchor, piece, many, split, words): the words of each wanted piece, from one text that holds it."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,13 +261,14 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 for i in range(lo, hi):
                     for p in lists[i]:
                         w = begin[i - lo] + p["first"]
-                        rows.append((p["anchor"], p["piece"], p["many"], data[starts[w] : ends[w + p["n"] + width - 2]].tobytes()))
-                anchor, piece, many, words = zip(*rows) if rows else ((),) * 4
-                yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(piece, pa.int64()), pa.array(many, pa.bool_()), pa.array(words, pa.binary())], names=["anchor", "piece", "many", "words"])
+                        rows.append((p["anchor"], p["piece"], p["many"], p["split"], data[starts[w] : ends[w + p["n"] + width - 2]].tobytes()))
+                columns = zip(*rows) if rows else ((),) * 5
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["anchor", "piece", "many", "split", "words"])
 
-    lists = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "piece", "many", "first", "n")).alias("pieces")).withColumnsRenamed({"doc_id": "p_id", "text_hash": "p_hash"})
+    lists = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "piece", "many", "split", "first", "n")).alias("pieces")).withColumnsRenamed({"doc_id": "p_id", "text_hash": "p_hash"})
     rows = docs.dropDuplicates(["doc_id", "text_hash"]).join(lists, docs["doc_id"].eqNullSafe(lists["p_id"]) & (docs["text_hash"] == lists["p_hash"]))
-    return rows.select("text", "pieces").mapInArrow(fetch, "anchor bigint, piece bigint, many boolean, words binary")
+    return rows.select("text", "pieces").mapInArrow(fetch, "anchor bigint, piece bigint, many boolean, split boolean, words binary")
 
 
 def _sorted_shard(width: int):
@@ -268,22 +276,30 @@ def _sorted_shard(width: int):
         shard = shard.combine_chunks()
         data, offsets = texts.buffers(shard.column("words").combine_chunks().view(pa.string()))
         starts, ends, text = texts.spans(data, offsets, texts.IS_INK)
-        word = np.unique(texts.span_hashes(data, starts, ends), return_inverse=True)[1].astype(np.int64) + 1
+        h = texts.span_hashes(data, starts, ends)
+        word = np.unique(h, return_inverse=True)[1].astype(np.int32) + 1
         pieces = shard.num_rows
         size = np.bincount(text, minlength=pieces)
         # Zeros keep the pieces apart; a suffix is never compared beyond its own.
         stop = np.cumsum(size + 1) - 1
-        s = np.zeros(len(word) + pieces, np.int64)
+        s = np.zeros(len(word) + pieces, np.int32)
         place = np.arange(len(word)) + text
         s[place] = word
-        again = repeated(s, np.repeat(stop, size + 1) - np.arange(len(s)), width)
-        many = np.repeat(shard.column("many").to_numpy(zero_copy_only=False).astype(bool), size + 1)
-        again |= many & (np.repeat(stop, size + 1) - np.arange(len(s)) >= width)
+        remaining = np.repeat(stop, size + 1) - np.arange(len(s))
+        flag = lambda name: np.repeat(shard.column(name).to_numpy(zero_copy_only=False).astype(bool), size + 1)
+        again = repeated(s, remaining, width) | (flag("many") & (remaining >= width))
         edge = np.diff(np.concatenate([[0], again.astype(np.int8), [0]]))
         low, high = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
         of = np.searchsorted(stop, low)
+        sign = np.zeros(len(low), np.uint64)
+        split = np.flatnonzero(flag("split") & (remaining >= width))
+        if len(split):
+            at = np.searchsorted(stop, split)
+            low, high, of = np.concatenate([low, split]), np.concatenate([high, split]), np.concatenate([of, at])
+            sign = np.concatenate([sign, texts.run_hashes(h, width)[split - at] | np.uint64(1)])
         base = stop[of] - size[of]
-        return pa.table({"anchor": shard.column("anchor").take(pa.array(of)), "piece": shard.column("piece").take(pa.array(of)), "low": pa.array((low - base).astype(np.int32)), "high": pa.array((high - base).astype(np.int32))})
+        take = lambda name: shard.column(name).take(pa.array(of))
+        return pa.table({"anchor": take("anchor"), "piece": take("piece"), "low": pa.array((low - base).astype(np.int32)), "high": pa.array((high - base).astype(np.int32)), "sign": pa.array(sign.view(np.int64), mask=sign == 0)})
 
     return judge
 
@@ -305,10 +321,18 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, per_shard: in
     found = cut(found)
     one = F.struct("doc_id", "text_hash", "first", "n")
     distinct = found.groupBy("anchor", "piece").agg(F.min(one).alias("one"), (F.min(one) != F.max(one)).alias("many")).select("anchor", "piece", "many", "one.*")
-    distinct = cut(distinct)
-    shards = max(1, -(-distinct.count() // per_shard))
-    held = _texts_of(rows, distinct, width).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    judged = held.groupBy("shard").applyInArrow(_sorted_shard(width), "anchor bigint, piece bigint, low int, high int")
+    distinct = cut(distinct.withColumn("rivals", F.count("*").over(same)))
+    # A piece that is all there is of its anchor occurs more than once, and all its passages with it.
+    alone = distinct.where("rivals = 1").select("anchor", "piece", F.lit(0).alias("low"), (F.col("n") - 1).alias("high"))
+    rivals = distinct.where("rivals > 1").withColumn("split", F.col("rivals") > per_shard)
+    shards = max(1, -(-rivals.count() // per_shard))
+    key = F.when(F.col("split"), F.xxhash64("anchor", "piece")).otherwise(F.xxhash64("anchor"))
+    held = _texts_of(rows, rivals, width).withColumn("shard", F.pmod(key, F.lit(shards)))
+    judged = cut(held.groupBy("shard").applyInArrow(_sorted_shard(width), "anchor bigint, piece bigint, low int, high int, sign bigint"))
+    runs = judged.where("sign IS NULL").drop("sign")
+    signed = judged.where("sign IS NOT NULL")
+    twice = signed.groupBy("anchor", "sign").agg(F.count("*").alias("places")).where("places > 1")
+    judged = alone.unionByName(runs).unionByName(signed.join(twice, ["anchor", "sign"], "left_semi").drop("sign"))
     hits = found.join(judged, ["anchor", "piece"]).select("doc_id", "text_hash", (F.col("first") + F.col("low")).alias("a"), (F.col("first") + F.col("high") + width - 1).alias("b")).distinct()
     by_text = Window.partitionBy("doc_id", "text_hash").orderBy("a", "b")
     before = hits.withColumn("before", F.max("b").over(by_text.rowsBetween(Window.unboundedPreceding, -1)))
