@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 VERSION = 4
@@ -40,3 +40,26 @@ def upserted(cache: DataFrame, fresh: DataFrame, version: int = VERSION) -> Data
 def deduplicated(rows: DataFrame, key: str = "content_key", by: str = "photo_id") -> DataFrame:
     """(key, copies, first): distinct contents."""
     return rows.groupBy(key).agg(F.count("*").alias("copies"), F.min(by).alias(f"first_{by}"))
+
+
+def _generations(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished generations below ``path``, on whatever file system it names."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath() for s in fs.listStatus(folder)]
+    return sorted(int(p.getName()[2:]) for p in names if p.getName().startswith("g=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def load(spark: SparkSession, path: str) -> DataFrame | None:
+    """The cache as it was last stored; None if it never was."""
+    done = _generations(spark, path)
+    return spark.read.parquet(f"{path}/g={done[-1]}") if done else None
+
+
+def store(cache: DataFrame, path: str) -> None:
+    """Write the whole cache as a new generation; readers see the old one until the new one is complete."""
+    done = _generations(cache.sparkSession, path)
+    cache.write.mode("overwrite").parquet(f"{path}/g={done[-1] + 1 if done else 0}")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, strings
 from ..operators import bursts, cache, compositions, features, plan, report, select, sinks
+from ..pipeline import cull
 from ..session import cut, table
 from . import oracles, tables
 
@@ -209,6 +210,12 @@ def export_names(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.export_names(table(spark, sf, "orders").select(F.col("o_orderkey").alias("photo_id"), F.concat(F.lit("img"), F.col("o_custkey").cast("string"), F.lit(".jpg")).alias("name")))
 
 
+@query
+def cull_run(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole run: adaptive thresholds, bursts, compositions with peeling, and the plan."""
+    return cull(tables.plain(tables.photos(spark, sf)), tables.signals(spark, sf)).plan
+
+
 # Pixels
 
 

@@ -46,6 +46,14 @@ def phash():
     return F.expr("((((photo_id div 4) % 2147483648) * 2654435761) % 4294967296) ^ (shiftleft(1L, cast(photo_id % 5 * 3 as int)) - 1)")
 
 
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features with made-up scores; every eleventh photo has none."""
+    k = F.col("photo_id")
+    share = lambda m: k * m % 100 / 100.0
+    faces_ = F.when(k % 4 == 0, F.array(F.struct((k % 10 / 100.0).alias("area"), share(9).alias("eye_open"), share(17).alias("smile"), share(23).alias("sharpness"))))
+    return features(spark, sf_dir).select("*", F.when(k % 11 != 0, share(1)).alias("exposure"), share(7).alias("wb"), share(31).alias("sharpness_raw"), share(13).alias("noise"), share(3).alias("aesthetic"), share(19).alias("composition"), faces_.alias("faces"))
+
+
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "events").select(F.col("event_id").alias("photo_id"))
     return ids.select("photo_id", F.lit(None).cast("array<double>").alias("embedding"), phash().alias("phash"))
