@@ -211,14 +211,14 @@ def brute_repeats(rows, width):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("seed, width, gram", [(0, 8, 3), (1, 8, 8), (2, 5, 1), (3, 12, 4)])
-def test_repeats_against_brute_force(spark, seed, width, gram):
+@pytest.mark.parametrize("seed, width, gram, per_shard", [(0, 8, 3, 10), (1, 8, 8, 1000), (2, 5, 1, 1), (3, 12, 4, 1)])
+def test_repeats_against_brute_force(spark, seed, width, gram, per_shard):
     r = random.Random(seed)
     passages = [" ".join(r.choice("abcdefgh") + str(r.randrange(9)) for _ in range(r.randint(width - 2, 3 * width))) for _ in range(6)]
     filler = lambda: " ".join(str(r.randrange(40)) for _ in range(r.randrange(30)))
     rows = [(i, "\n".join(x for _ in range(r.randrange(4)) for x in (filler(), r.choice(passages)))) for i in range(25)]
     rows += [(90, passages[0] * 3), (91, None), (92, ""), rows[0], rows[0], (None, passages[1]), (93, "x " * 100), (94, "x " * width)]
-    got = suffix.repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), width, gram, per_shard=10)
+    got = suffix.repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), width, gram, per_shard)
     assert sorted(map(tuple, got.collect()), key=str) == brute_repeats(rows, width)
 
 
