@@ -15,8 +15,10 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector over its length, which counts as 1e-8 at least."""
-    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: x.cast("double") / F.greatest(length, F.lit(1e-8)))
+    square = lambda w: F.aggregate(w, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    # Vector and length go through arrays of one, so that neither is worked out again for each element.
+    both = F.transform(F.array(v), lambda w: F.struct(w.alias("v"), F.greatest(F.sqrt(square(w)), F.lit(1e-8)).alias("l")))
+    return F.transform(both, lambda b: F.transform(b["v"], lambda x: x.cast("double") / b["l"]))[0]
 
 
 def hamming(a: Column, b: Column) -> Column:
