@@ -64,11 +64,15 @@ def survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("photo_id")))
 
 
-def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(photo_id, faces): ``lineitem`` as faces of the photo ``orders``; an order without lines has none."""
+def _faces_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_orderkey, faces): ``lineitem`` as faces, by number."""
     face = F.struct(F.col("l_discount").alias("area"), (F.col("l_tax") * 12).alias("eye_open"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_discount") * 8).alias("smile"), F.col("l_quantity").alias("sharpness"))
-    per = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", face.alias("f")))), lambda x: x["f"]).alias("faces"))
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("photo_id"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", face.alias("f")))), lambda x: x["f"]).alias("faces"))
+
+
+def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(photo_id, faces) of each photo in ``orders``; one without lines has none."""
+    o, per = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("photo_id")), _faces_of(spark, sf_dir)
     return o.join(per, o["photo_id"] == per["l_orderkey"], "left").select("photo_id", "faces")
 
 
@@ -83,7 +87,8 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 != 0, share(3)).alias("aesthetic"), F.when(k % 6 != 0, share(11)).alias("composition"),
         F.concat(F.lit("in/"), F.col("o_orderkey").cast("string"), F.when(k % 2 == 0, ".jpg").otherwise(".NEF")).alias("path"),
     )
-    return o.join(faces(spark, sf_dir), "photo_id")
+    per = _faces_of(spark, sf_dir)
+    return o.join(per, o["photo_id"] == per["l_orderkey"], "left").drop("l_orderkey")
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
