@@ -179,7 +179,7 @@ def plan_composed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def override_flip(spark: SparkSession, sf: str) -> DataFrame:
-    over = table(spark, sf, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("photo_id"))
+    over = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("photo_id"))
     return plan.reviewed(_picks(spark, sf), over)
 
 

@@ -104,7 +104,7 @@ COMPOSED = [*PICKS, "left_over AS (SELECT m.* FROM members m JOIN picks USING (p
 PLAN = """plan AS (SELECT m.photo_id, m.name, m.group_id, s.group_id IS NULL OR coalesce(p.verdict = 'kept', false) AS picked FROM members m LEFT JOIN picks p USING (photo_id) LEFT JOIN (SELECT DISTINCT group_id FROM picks) s ON s.group_id = m.group_id)"""
 
 SIMPLE_HASH = "substr(sha256(text), 1, 32)"
-CACHED = f"""cached AS MATERIALIZED (SELECT key AS content_key, CASE WHEN k % 3 = 0 THEN 3 ELSE 4 END AS schema_version, k % 5 <> 0 AND k % 7 <> 0 AS whole, k AS created_at FROM (SELECT {SIMPLE_HASH} AS key, min(doc_id) AS k FROM documents GROUP BY key) WHERE k % 2 = 0 AND key IS NOT NULL),
+CACHED = f"""cached AS MATERIALIZED (SELECT key AS content_key, CASE WHEN k % 3 = 0 THEN 3 ELSE 4 END AS schema_version, k % 5 <> 0 AND k % 7 <> 0 AS whole, k AS created_at FROM (SELECT {SIMPLE_HASH} AS key, min(doc_id) AS k FROM documents WHERE lang = 'en' GROUP BY key) WHERE key IS NOT NULL),
   probe AS MATERIALIZED (SELECT doc_id AS photo_id, {SIMPLE_HASH} AS key, c.content_key IS NULL OR NOT c.whole AS miss FROM documents LEFT JOIN cached c ON c.content_key = {SIMPLE_HASH} AND c.schema_version = 4)"""
 
 
@@ -178,7 +178,7 @@ def all_sql() -> dict[str, str]:
         "raw_embedding_pairs_030": "SELECT s.vec_id AS a, t.vec_id AS b FROM embeddings s JOIN embeddings t ON s.vec_id < t.vec_id WHERE list_inner_product(s.embedding::DOUBLE[], t.embedding::DOUBLE[]) > 0.30",
         "plan_keep_reject": chain(*PICKS, PLAN, then="SELECT photo_id, CASE WHEN picked THEN 'picked' ELSE 'rejected' END AS verdict, CASE WHEN picked THEN 'picked/group_' || format('{:08x}', group_id) || '/' ELSE 'rejected/' END || name AS dest FROM plan"),
         "plan_composed": chain(*COMPOSED, then="SELECT m.photo_id, CASE WHEN k.photo_id IS NULL THEN 'rejected' ELSE 'picked' END AS verdict, CASE WHEN k.photo_id IS NULL THEN 'rejected/' ELSE 'picked/comp_' || format('{:08x}', k.composition_id) || '/' END || name AS dest FROM members m LEFT JOIN (SELECT * FROM made WHERE verdict = 'kept') k USING (photo_id)"),
-        "override_flip": chain(*PICKS, then="SELECT photo_id, (verdict = 'kept') <> (photo_id % 10 = 0) AS keep FROM picks"),
+        "override_flip": chain(*PICKS, then="SELECT photo_id, (verdict = 'kept') <> (o_orderstatus = 'F') AS keep FROM picks JOIN orders ON o_orderkey = photo_id"),
         "report_counts": chain(*PICKS, PLAN, "n AS (SELECT count(*) FILTER (verdict = 'rejected') AS r FROM picks)", then="SELECT count(*) AS photo_count, count(DISTINCT group_id) AS burst_count, 0::BIGINT AS composition_count, count(*) FILTER (picked) AS picked_count, any_value(r) AS rejected_count FROM plan, n"),
         "report_counts_composed": chain(*COMPOSED, then="SELECT count(*) AS photo_count, count(DISTINCT m.group_id) AS burst_count, (SELECT count(DISTINCT composition_id) FROM made) AS composition_count, count(*) FILTER (verdict = 'kept') AS picked_count, count(*) FILTER (verdict IS DISTINCT FROM 'kept') AS rejected_count FROM members m LEFT JOIN made USING (photo_id)"),
         "report_nested": chain(*PICKS, then="""SELECT m.group_id, '{"id":' || m.group_id || ',"photos":[' || string_agg('{"photo_id":' || m.photo_id || ',"verdict":"' || coalesce(verdict, 'unscored') || '"' || CASE WHEN rank IS NULL THEN '' ELSE ',"rank":' || rank || ',"value":' || round(value, 9) END || '}', ',' ORDER BY coalesce(rank, 2147483647), m.photo_id) || ']}' AS report FROM members m LEFT JOIN picks USING (photo_id) GROUP BY m.group_id"""),
