@@ -64,7 +64,8 @@ def test_toxicity(odd, none, labels, spark):
     assert toxicity.toxic_spans(odd, field).count() >= 0
     assert toxicity.toxic_spans(none, toxicity.train(none, labels)).count() == 0
     assert toxicity.toxic_spans(odd, toxicity.train(odd, labels.where("false"))).count() == 0
-    rows = [(i, "you awful grumbleface and more words here" if i % 2 else "you kind person and more words here") for i in range(60)]
+    # Equal texts would count as one document in training.
+    rows = [(i, f"you {'awful grumbleface' if i % 2 else 'kind person'} and more words here w{i}") for i in range(60)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
     l = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
     got = {r["doc_id"]: r for r in toxicity.toxic_spans(d.union(d), toxicity.train(d, l)).collect()}
