@@ -1,10 +1,11 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search.
 
-Patterns are windows of benchmark words. A window of ``words`` words is taken every
-``stride`` words and at an item's end, so any leaked passage of ``words + stride - 1``
-words holds a whole window; an item of fewer words is one pattern, and one of fewer than
-``least_words`` is too little evidence and gives none. Texts and items are compared in
-lower case with each run of white space as one blank, at word boundaries.
+Patterns are windows of benchmark words. A window of ``words`` words is taken at every word,
+so any leaked passage of ``words`` words is one; an item of fewer words is one pattern, and one
+of fewer than ``least_words`` is too little evidence and gives none. Those at every ``stride``
+words and at an item's end are counted, so ``n_windows`` doesn't rise with each word of one
+passage. Texts and items are compared in lower case with each run of white space as one blank,
+at word boundaries.
 """
 
 from __future__ import annotations
@@ -31,13 +32,13 @@ def normalised(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[ \t\n\f\r]+", " ")), F.lit(" "))
 
 
-def windows(text: str, words: int = WORDS, stride: int = STRIDE, least_words: int = LEAST_WORDS) -> list[str]:
-    """The patterns of one normalised benchmark item."""
+def windows(text: str, words: int = WORDS, stride: int = STRIDE, least_words: int = LEAST_WORDS) -> list[tuple[str, bool]]:
+    """The patterns of one normalised benchmark item, and whether each is counted."""
     w = text.split(" ")[1:-1]
     if len(w) < least_words:
         return []
     last = max(len(w) - words, 0)
-    return [" " + " ".join(w[i : i + words]) + " " for i in sorted({*range(0, last + 1, stride), last})]
+    return [(" " + " ".join(w[i : i + words]) + " ", i % stride == 0 or i == last) for i in range(last + 1)]
 
 
 class WuManber:
@@ -115,22 +116,21 @@ def matches(column: pa.Array, automata: list) -> Iterator[tuple[int, int]]:
 
 
 def benchmark_patterns(benchmark: DataFrame, words: int = WORDS, stride: int = STRIDE, least_words: int = LEAST_WORDS) -> tuple[list[bytes], list[list]]:
-    """Distinct patterns, and for each the item ids that hold it. The benchmark is a
-    collection of test items that doesn't grow with the corpus; it is read to the driver."""
-    items: dict[str, list] = {}
+    """Distinct patterns, and for each the item ids that hold it, with whether it is counted there. The
+    benchmark is a collection of test items that doesn't grow with the corpus; it is read to the driver."""
+    items: dict[str, dict] = {}
     for item, text in benchmark.select("item_id", normalised(F.col("text"))).where(F.col("text").isNotNull()).toLocalIterator():
-        for p in windows(text, words, stride, least_words):
-            ids = items.setdefault(p, [])
-            if item not in ids:
-                ids.append(item)
+        for p, counted in windows(text, words, stride, least_words):
+            ids = items.setdefault(p, {})
+            ids[item] = ids.get(item, False) or counted
     keys = sorted(items)
-    return [k.encode() for k in keys], [sorted(items[k], key=lambda x: (x is None, x)) for k in keys]
+    return [k.encode() for k in keys], [sorted(items[k].items(), key=lambda x: (x[0] is None, x[0])) for k in keys]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, stride: int = STRIDE, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, item_id, n_windows): how many distinct windows of an item a document holds.
+    """(doc_id, item_id, n_windows): how many distinct counted windows of an item a document holds.
 
-    A row of ``docs`` without a window gives no row, nor does a null or empty text or an
+    A document that holds only windows between the counted ones has its row too, with n_windows 0. A row of ``docs`` without a window gives no row, nor does a null or empty text or an
     empty benchmark. Rows that repeat give repeated results; a null doc_id is carried.
     Other columns are not read.
     """
@@ -145,8 +145,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, stri
             ids = batch.column(0)
             seen: dict[tuple[int, int], set] = {}
             for row, k in matches(batch.column(1), automata):
-                for item in items[k]:
-                    seen.setdefault((row, item), set()).add(k)
+                for item, counted in items[k]:
+                    windows_ = seen.setdefault((row, item), set())
+                    if counted:
+                        windows_.add(k)
             keys = list(seen)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array([r for r, _ in keys], pa.int64())), pa.array([i for _, i in keys], pa.int64()), pa.array([len(seen[k]) for k in keys], pa.int64())], names=["doc_id", "item_id", "n_windows"])
 

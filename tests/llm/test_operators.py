@@ -246,6 +246,16 @@ def test_several_automata_find_the_same(spark, data, monkeypatch):
     assert len({row for row, _ in decontam.matches(column, automata)}) == len({i for i, _, _ in once})
 
 
+def test_every_excerpt_of_thirteen_words_is_found(spark):
+    item = [f"word{i}" for i in range(31)]
+    b = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    rows = [(i, f"before {' '.join(item[i : i + 13])} after") for i in range(19)] + [(50, " ".join(item[3:15])), (51, " ".join(item))]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["item_id"], r["n_windows"]) for r in decontam.contaminated(d, b).collect()}
+    assert got == {i: (7, int(i % 6 == 0)) for i in range(19)} | {51: (7, 4)}
+    assert [r["doc_id"] for r in decontam.decontaminate(d, b).collect()] == [50]
+
+
 # 7 URLs
 
 
