@@ -1,6 +1,7 @@
 """Personal identifiers and secrets by bootstrapped contextual extraction.
 
-Candidates are tokens with a digit or an at sign (joined where a number is written in groups). Each
+Candidates are tokens with a digit or an at sign (joined where a number is written in groups), and
+those without either that a strict seed describes (password=..., or what follows 'token ='). Each
 occurrence has lexical patterns: the candidate's shape, and its shape with the word before or
 after. A few strict seeds of each kind (an address with a domain, a card number with a right check
 digit, ...) and some harmless numbers (versions, short numbers) start off the graph of patterns and
@@ -27,11 +28,15 @@ ROUNDS = 3
 UNKNOWN = 0.05
 #: A pattern counts from this confidence and number of distinct instances; an occurrence is reported from this score.
 CONFIDENCE, SUPPORT, REPORT = 0.5, 3, 0.5
+#: Characters of what follows a key and = or :, to be a secret.
+LEAST_SECRET = 12
 CHUNK = 4 << 20
 
 _DIGIT = np.zeros(256, np.int32)
 _DIGIT[48:58] = 1
 _DIGIT[ord("@")] = 1
+_SIGN = np.zeros(256, np.int32)
+_SIGN[[ord("="), ord(":")]] = 1
 
 _EMAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}")
 _GROUP = re.compile(r"\+?\(?\d{1,4}\)?")
@@ -41,6 +46,7 @@ _IP = re.compile(r"(?:\d{1,3}\.){3}\d{1,3}")
 _KEY = re.compile(r"AKIA[0-9A-Z]{16}")
 _SECRET = re.compile(r"(?:password|passwd|secret|token|api_?key)[=:]\S{8,}", re.I)
 _HARMLESS = re.compile(r"[vV]?\d{1,4}(?:\.\d{1,3}){0,2}|\d{1,2}[:/]\d{1,2}(?:[:/]\d{2,4})?|(?:19|20)\d\d-\d\d-\d\d|\d{1,3}(?:,\d{3})*(?:\.\d+)?%?")
+_MARK = re.compile(r"[0-9@]")
 _MIXED = re.compile(r"[0-9A-Za-z_+/-]{12,}")
 
 
@@ -53,7 +59,7 @@ def seed(instance: str, before: str) -> str | None:
     """The kind of a strict seed, 'none' for a harmless number, None if it isn't known."""
     if _EMAIL.fullmatch(instance):
         return "email"
-    if _KEY.fullmatch(instance) or _SECRET.fullmatch(instance) or re.fullmatch(r"(password|token|secret|api_?key) [=:]", before) and len(instance) >= 12:
+    if _KEY.fullmatch(instance) or _SECRET.fullmatch(instance) or re.fullmatch(r"(password|token|secret|api_?key) [=:]", before) and len(instance) >= LEAST_SECRET:
         return "secret"
     if _IP.fullmatch(instance):
         return "ip" if all(int(x) < 256 for x in instance.split(".")) else None
@@ -86,7 +92,7 @@ def shape(instance: str) -> str:
 def candidates(text: bytes, tokens: list[tuple[int, int]], marked: list[int]) -> Iterator[tuple[int, int, str, str, str]]:
     """(byte start, byte end, instance, words before, word after) of a text's candidates.
 
-    ``tokens`` are the spans of ink, ``marked`` those with a digit or an at sign.
+    ``tokens`` are the spans of ink, ``marked`` those with a digit or an at sign, or that a seed may describe without.
     """
     word = lambda i: text[tokens[i][0] : tokens[i][1]].decode("utf-8", "replace") if 0 <= i < len(tokens) else ""
     k = 0
@@ -118,6 +124,8 @@ def candidates(text: bytes, tokens: list[tuple[int, int]], marked: list[int]) ->
         before = re.sub(r"^\W+(?=\w)", "", word(i - 1).lower())
         if before and not re.search(r"\w", before):
             before = re.sub(r"^\W+", "", word(i - 2).lower()) + " " + before
+        if not _MARK.search(raw) and seed(core, before) != "secret":
+            continue
         yield start, end, core, before, re.sub(r"\W+$", "", word(j + 1).lower())
 
 
@@ -126,6 +134,16 @@ def patterns(instance: str, before: str, after: str) -> list[str]:
     return [s] + ([f"{before} _ {s}"] if before else []) + ([f"{s} _ {after}"] if after else [])
 
 
+def _marked(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The tokens with a digit or an at sign, with = or : inside, or long ones after such a sign that stands alone."""
+    count = np.append(0, np.cumsum(_DIGIT[data], dtype=np.int32))
+    signs = np.append(0, np.cumsum(_SIGN[data], dtype=np.int32))
+    mark = (count[ends] > count[starts]) | (signs[ends - 1] > signs[starts])
+    alone = (ends - starts == 1) & (signs[ends] > signs[starts])
+    mark[1:] |= alone[:-1] & (text[1:] == text[:-1]) & ((ends - starts)[1:] >= LEAST_SECRET)
+    return np.flatnonzero(mark)
+
+
 def _each(column: pa.Array) -> Iterator[tuple[int, bytes, list]]:
     """(row, text, its candidates) of the texts that have any."""
     column = texts.text_array(column)
@@ -133,11 +151,8 @@ def _each(column: pa.Array) -> Iterator[tuple[int, bytes, list]]:
         data, offsets = texts.buffers(column.slice(a, b - a))
         if not len(data):
             continue
-        count = np.append(0, np.cumsum(_DIGIT[data], dtype=np.int32))
-        if not count[-1]:
-            continue
         starts, ends, text = texts.spans(data, offsets, texts.IS_INK)
-        marked = np.flatnonzero(count[ends] > count[starts])
+        marked = _marked(data, starts, ends, text)
         bounds = texts.per_text(text, b - a)
         of = text[marked]
         for i in np.unique(of).tolist():

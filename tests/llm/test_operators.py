@@ -79,6 +79,15 @@ def test_context_finds_identifiers_that_no_seed_describes(spark):
     assert masked[50] == "Please pay with card <CARD> today" and masked[60] == rows[6][1] and masked[61] == "mail <EMAIL> or <IP>"
 
 
+def test_secrets_without_digits_are_found(spark):
+    rows = [(0, "set password=CorrectHorseBattery, then"), (1, "secret = abcdefghijklmnop"), (2, "the token : qwertyuiopasdf ends"), (3, "a secret: understanding ratio=height:width http://example.org/extraordinarily"), (4, "so password ="), (5, "= abcdefghijklmnop")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    known = pii.detector(d)
+    assert {(r["doc_id"], r["kind"], r["value"]) for r in pii.found(d, known).collect()} == {(0, "secret", "password=CorrectHorseBattery"), (1, "secret", "abcdefghijklmnop"), (2, "secret", "qwertyuiopasdf")}
+    masked = {r["doc_id"]: r["text"] for r in pii.masked(d, known).collect()}
+    assert masked == dict(rows) | {0: "set <SECRET>, then", 1: "secret = <SECRET>", 2: "the token : <SECRET> ends"}
+
+
 def test_private_data_of_the_corpus(spark, data, docs):
     got = queries.op2_pii(spark, f"{data}/sf0.01").toPandas()
     text = dict(zip(docs.doc_id, docs.text))
