@@ -2,8 +2,8 @@
 
 Candidates are tokens with a digit or an at sign (joined where a number is written in groups), and
 those without either that a strict seed describes (password=..., or what follows 'token ='). Each
-occurrence has lexical patterns: the candidate's shape, and its shape with the word before or
-after. A few strict seeds of each kind (an address with a domain, a card number with a right check
+occurrence has lexical patterns: the candidate's shape, its shape with the word before or
+after, and the words around it with only its coarse class, which links different shapes. A few strict seeds of each kind (an address with a domain, a card number with a right check
 digit, ...) and some harmless numbers (versions, short numbers) start off the graph of patterns and
 instances over the whole corpus. In every round a pattern's confidence in a kind comes
 from the scores of its distinct instances, and an instance's score from its patterns' confidences
@@ -30,6 +30,8 @@ UNKNOWN = 0.05
 CONFIDENCE, SUPPORT, REPORT = 0.5, 3, 0.5
 #: Characters of what follows a key and = or :, to be a secret.
 LEAST_SECRET = 12
+#: Digits, or characters, of what a context alone may tell.
+LEAST_DIGITS, LEAST_MIXED = 7, 8
 CHUNK = 4 << 20
 
 _DIGIT = np.zeros(256, np.int32)
@@ -129,9 +131,19 @@ def candidates(text: bytes, tokens: list[tuple[int, int]], marked: list[int]) ->
         yield start, end, core, before, re.sub(r"\W+$", "", word(j + 1).lower())
 
 
+def coarse(instance: str) -> str | None:
+    """'digits' or 'mixed' (with letters); None for what is too short for an identifier and isn't known to be harmless, or has an at sign."""
+    if "@" in instance:
+        return None
+    if re.search(r"[^\W\d_]", instance):
+        return "mixed" if len(instance) >= LEAST_MIXED else None
+    return "digits" if len(re.sub(r"\D", "", instance)) >= LEAST_DIGITS or _HARMLESS.fullmatch(instance) else None
+
+
 def patterns(instance: str, before: str, after: str) -> list[str]:
-    s = shape(instance)
-    return [s] + ([f"{before} _ {s}"] if before else []) + ([f"{s} _ {after}"] if after else [])
+    s, c = shape(instance), coarse(instance)
+    around = [f"{before} _ {after} #{c}"] if c and (before or after) else []
+    return [s] + ([f"{before} _ {s}"] if before else []) + ([f"{s} _ {after}"] if after else []) + around
 
 
 def _marked(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -189,7 +201,9 @@ def bootstrap(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         total = linked.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.when(F.col("kinds").isNull(), UNKNOWN).otherwise(0.0)).alias("unknown"))
         by_kind = linked.where("kinds IS NOT NULL").select("pattern", F.explode("kinds").alias("kind", "score")).groupBy("pattern", "kind").agg(F.sum("score").alias("for_it"))
         shares = by_kind.withColumn("for_all", F.sum("for_it").over(Window.partitionBy("pattern"))).join(total, "pattern")
-        sure = cut(shares.where((F.col("n") >= SUPPORT) & (F.col("kind") != "none")).withColumn("confidence", F.col("for_it") / (F.col("for_all") + F.col("unknown") + 0.1)).where(F.col("confidence") >= CONFIDENCE).select("pattern", "kind", "confidence"))
+        # Any unknown number may stand between two words, so there only what is known supports a kind.
+        support = F.when(F.col("pattern").rlike("_ .*#(digits|mixed)$"), F.least("n", "for_it")).otherwise(F.col("n"))
+        sure = cut(shares.where((support >= SUPPORT) & (F.col("kind") != "none")).withColumn("confidence", F.col("for_it") / (F.col("for_all") + F.col("unknown") + 0.1)).where(F.col("confidence") >= CONFIDENCE).select("pattern", "kind", "confidence"))
         seeds = edges.where("seed IS NOT NULL").groupBy("instance").agg(F.max("seed").alias("kind"))
         found = edges.join(sure, "pattern").join(seeds.select("instance"), "instance", "left_anti").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1.0 - F.least("confidence", F.lit(0.999)))))).alias("score"))
         scores = seeds.withColumn("score", F.lit(1.0)).unionByName(found)

@@ -79,6 +79,17 @@ def test_context_finds_identifiers_that_no_seed_describes(spark):
     assert masked[50] == "Please pay with card <CARD> today" and masked[60] == rows[6][1] and masked[61] == "mail <EMAIL> or <IP>"
 
 
+def test_context_crosses_from_one_shape_to_another(spark):
+    rows = [(i, f"reach us at +1 ({200 + i}) 555-70{10 + i} today") for i in range(6)]
+    rows += [(10, "reach us at 415-555-7040 today"), (11, "reach us at (415) 555-7041 today"), (12, "reach us at 10 today"), (13, "order 415-555-7040-1 shipped"), (14, "reach us at 12345 today")]
+    rows += [(20 + i, f"fax 20{i}-555-71{10 + i} today") for i in range(3)] + [(30 + i, f"reach us at 20{i}-555-71{10 + i} today") for i in range(3)] + [(40, "parts 999-555-1234 boxed")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["kind"], r["value"]) for r in pii.found(d, pii.detector(d)).collect()}
+    assert {(10, "phone", "415-555-7040"), (11, "phone", "(415) 555-7041")} <= got
+    assert (40, "phone", "999-555-1234") in got  # a shape that the context taught, found outside it
+    assert not {i for i, _, _ in got} & {12, 13, 14}
+
+
 def test_secrets_without_digits_are_found(spark):
     rows = [(0, "set password=CorrectHorseBattery, then"), (1, "secret = abcdefghijklmnop"), (2, "the token : qwertyuiopasdf ends"), (3, "a secret: understanding ratio=height:width http://example.org/extraordinarily"), (4, "so password ="), (5, "= abcdefghijklmnop")]
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
