@@ -1,6 +1,6 @@
 """URL filters by a tree of path templates for each host.
 
-A URL's path is cut into segments; what lies below ``DEPTH`` is one segment '**'. Numbers
+A URL's path is cut into segments, all of which are levels of the tree. Numbers
 and identifiers become wildcards at once ('*', or '*.ext' where an extension follows). Then, level by
 level from the host, a node with more than ``FAN`` literal children turns those with fewer than
 ``FEW`` pages into '*'. Then, from the deepest level up, sibling branches (equal but for one literal segment)
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
+#: DEPTH is the SQL's: it has one segment '**' for what lies below.
 DEPTH, FAN, FEW = 4, 20, 5
 Z, PRIOR_WEIGHT, PURITY = 1.96, 4.0, 0.5
 
@@ -28,23 +29,23 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_extract(url, _URL + r"([^/?#]*)", 1), r":[0-9]+$", ""))
 
 
-def segments(url: Column, depth: int = DEPTH) -> Column:
-    """The path's segments with wildcards for numbers and identifiers, as one string '/a/b'."""
+def segments(url: Column) -> Column:
+    """The path's segments with wildcards for numbers and identifiers."""
     parts = F.filter(F.split(F.regexp_extract(url, _URL + r"[^/?#]*([^?#]*)", 1), "/"), lambda s: s != "")
-    general = F.transform(parts, lambda s: F.when(s.rlike(_VARIABLE), F.lit("*")).when(s.rlike(_WITH_END), F.concat(F.lit("*"), F.regexp_extract(s, _WITH_END, 1))).otherwise(s))
-    return F.when(F.size(general) > depth, F.concat(F.slice(general, 1, depth), F.array(F.lit("**")))).otherwise(general)
+    return F.transform(parts, lambda s: F.when(s.rlike(_VARIABLE), F.lit("*")).when(s.rlike(_WITH_END), F.concat(F.lit("*"), F.regexp_extract(s, _WITH_END, 1))).otherwise(s))
 
 
 def _literal(s: Column) -> Column:
     return s.isNotNull() & ~s.startswith("*") & (s != "+")
 
 
-def templates(pages: DataFrame, labels: DataFrame, depth: int = DEPTH, fan: int = FAN, few: int = FEW) -> DataFrame:
+def templates(pages: DataFrame, labels: DataFrame, fan: int = FAN, few: int = FEW) -> DataFrame:
     """(host, raw, template, n, good, labelled): every distinct path of a host after the first wildcards, and its template."""
     good = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("__id")).agg(F.min("quality").cast("int").alias("q"))
-    parsed = pages.where("url IS NOT NULL").select(F.col("page_id").cast("bigint").alias("__page"), host(F.col("url")).alias("host"), segments(F.col("url"), depth).alias("raw"))
+    parsed = pages.where("url IS NOT NULL").select(F.col("page_id").cast("bigint").alias("__page"), host(F.col("url")).alias("host"), segments(F.col("url")).alias("raw"))
     tree = parsed.join(good, parsed["__page"] == good["__id"], "left").groupBy("host", "raw").agg(F.count("*").alias("n"), F.sum(F.when(F.col("q") == 1, 1).otherwise(0)).alias("good"), F.count("q").alias("labelled")).withColumn("segs", F.col("raw"))
     tree = cut(tree)
+    depth = tree.agg(F.max(F.size("raw"))).first()[0] or 0
     for d in range(1, depth + 1):
         at = F.try_element_at("segs", F.lit(d))
         node = tree.where(_literal(at)).select("host", F.slice("segs", 1, d - 1).alias("up"), at.alias("child"), "n").groupBy("host", "up", "child").agg(F.sum("n").alias("n"))
@@ -65,7 +66,7 @@ def templates(pages: DataFrame, labels: DataFrame, depth: int = DEPTH, fan: int
 
 
 def _replaced(d: int, by: str) -> Column:
-    return F.concat(F.slice("segs", 1, d - 1), F.array(F.lit(by)), F.slice("segs", d + 1, 100))
+    return F.concat(F.slice("segs", 1, d - 1), F.array(F.lit(by)), F.slice("segs", F.lit(d + 1), F.greatest(F.size("segs"), F.lit(1))))
 
 
 def judged(tree: DataFrame) -> DataFrame:

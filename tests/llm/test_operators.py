@@ -294,6 +294,19 @@ def test_templates_generalise_merge_and_reject(spark):
     assert (out[k]["host"], out[k]["purity"], out[k]["keep"]) == (None, 0.0, False) and out[k + 1]["host"] == "" and out[k + 2]["keep"]
 
 
+def test_branches_that_part_deep_in_the_path_are_judged_apart(spark):
+    pages, labels = [], []
+    for i in range(40):
+        for part, good in (("x", 1), ("casino", 0)):
+            pages.append((len(pages), f"http://site.org/en/2024/05/17/news/{part}/page"))
+            labels.append((len(labels), good))
+    deep = "/".join(["a"] * 6)
+    pages.append((len(pages), f"http://deep.org/{deep}"))
+    out = {r["page_id"]: r for r in urls.filtered(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()}
+    assert len(out) == len(pages) and out[len(pages) - 1]["template"] == f"/{deep}"
+    assert all(out[i]["template"] == "/en/*/*/*/news/" + ("casino/page" if i % 2 else "x/page") and out[i]["keep"] == (i % 2 == 0) for i in range(80))
+
+
 # 8 languages
 
 
