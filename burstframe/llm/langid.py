@@ -24,7 +24,7 @@ SAMPLE, SAMPLE_WORDS = 250, 400_000
 ROUNDS, SMOOTHING = 3, 0.1
 CHUNK = 4 << 20
 REMEMBERED = 1_000_000
-#: Longer words are scored in logarithms.
+#: Longer words are scored and trained on in logarithms.
 LONG = 40
 
 
@@ -114,6 +114,8 @@ def _layout(words_start: np.ndarray, words_end: np.ndarray, a: np.ndarray) -> tu
 
 def padded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words copied one after another, each after a blank (a piece's mark of a word's beginning) and before a spare byte."""
+    if not len(starts):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
     length = ends - starts + 2
     s = np.append(0, np.cumsum(length)[:-1])
     out = np.zeros(int(length.sum()), np.uint8)
@@ -156,32 +158,50 @@ def log_probabilities(pieces: Pieces, logp: np.ndarray, data: np.ndarray, starts
     return out
 
 
+def _expected(at: tuple, logp: np.ndarray, logs: bool) -> np.ndarray:
+    """How often each piece is used in the words of ``at``, by forward and backward sums."""
+    n, s, e, a, b, piece, bounds, word, count = at
+    if logs:
+        p = logp[piece]
+        alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        alpha[s], beta[e] = 0, 0
+    else:
+        p = np.exp(logp[piece] + 4.0 * (b - a))
+        alpha, beta = np.zeros(n + 1), np.zeros(n + 1)
+        alpha[s], beta[e] = 1, 1
+    for k in range(len(bounds) - 1):
+        i = slice(bounds[k], bounds[k + 1])
+        alpha[b[i]] = np.logaddexp(alpha[b[i]], alpha[a[i]] + p[i]) if logs else alpha[b[i]] + alpha[a[i]] * p[i]
+    for k in reversed(range(len(bounds) - 1)):
+        i = slice(bounds[k], bounds[k + 1])
+        if logs:
+            np.logaddexp.at(beta, a[i], beta[b[i]] + p[i])
+        else:
+            np.add.at(beta, a[i], beta[b[i]] * p[i])
+    used = np.exp(alpha[a] + p + beta[b] - alpha[e[word]]) if logs else alpha[a] * p * beta[b] / np.maximum(alpha[e[word]], 1e-300)
+    return np.bincount(piece, used * count[word], len(logp))
+
+
 def fit(pieces: Pieces, words: dict[str, dict[bytes, int]], rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> np.ndarray:
     """Log-probabilities (pieces, languages) from counted words of each language, by EM."""
     out = []
     for language in sorted(words):
-        kept = [w for w in sorted(words[language]) if len(w) <= LONG]
-        count = np.array([words[language][w] for w in kept], float)
-        length = np.array([len(w) for w in kept], np.int64)
-        ends = np.cumsum(length)
-        d, s, e = padded(np.frombuffer(b"".join(kept), np.uint8), ends - length, ends)
-        a, b, piece = pieces.edges(d, s, e)
-        order, bounds = _layout(s, e, a)
-        a, b, piece = a[order], b[order], piece[order]
-        word = np.searchsorted(s, a, "right") - 1
+        groups = []
+        for logs in (False, True):
+            kept = [w for w in sorted(words[language]) if (len(w) > LONG) == logs]
+            if not kept:
+                continue
+            length = np.array([len(w) for w in kept], np.int64)
+            ends = np.cumsum(length)
+            d, s, e = padded(np.frombuffer(b"".join(kept), np.uint8), ends - length, ends)
+            a, b, piece = pieces.edges(d, s, e)
+            order, bounds = _layout(s, e, a)
+            a, b, piece = a[order], b[order], piece[order]
+            word = np.searchsorted(s, a, "right") - 1
+            groups.append(((len(d), s, e, a, b, piece, bounds, word, np.array([words[language][w] for w in kept], float)), logs))
         logp = np.full(len(pieces.pieces), -np.log(len(pieces.pieces)))
         for _ in range(rounds):
-            p = np.exp(logp[piece] + 4.0 * (b - a))
-            alpha, beta = np.zeros(len(d) + 1), np.zeros(len(d) + 1)
-            alpha[s], beta[e] = 1, 1
-            for k in range(len(bounds) - 1):
-                i = slice(bounds[k], bounds[k + 1])
-                alpha[b[i]] += alpha[a[i]] * p[i]
-            for k in reversed(range(len(bounds) - 1)):
-                i = slice(bounds[k], bounds[k + 1])
-                np.add.at(beta, a[i], beta[b[i]] * p[i])
-            used = alpha[a] * p * beta[b] / np.maximum(alpha[e[word]], 1e-300) * count[word]
-            total = np.bincount(piece, used, len(pieces.pieces)) + smoothing
+            total = sum(_expected(at, logp, logs) for at, logs in groups) + smoothing
             logp = np.log(total / total.sum())
         out.append(logp)
     return np.stack(out, axis=1)

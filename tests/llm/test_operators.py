@@ -331,6 +331,20 @@ def test_forward_sums_over_all_segmentations():
         assert np.allclose(got[k], np.log(alpha[-1]))
 
 
+def test_languages_of_only_long_words_are_learnt(monkeypatch):
+    p = langid.Pieces()
+    words = {"x": {b"abcab" * 12: 2, b"the": 3, b"q" * 300: 1}, "z": {"\u6f22\u5b57".encode() * 20: 1}}
+    got = langid.fit(p, words)
+    assert np.isfinite(got).all() and np.allclose(np.exp(got).sum(axis=0), 1)
+    assert got[p.pieces.index(b"q"), 0] > got[p.pieces.index(b"q"), 1]
+    assert all(len(x) == 0 for x in langid.padded(*[np.zeros(0, np.int64)] * 3))
+    monkeypatch.setattr(langid, "LONG", 100)
+    short = {"x": {w: n for w, n in words["x"].items() if len(w) <= 100}, "z": words["z"]}
+    want = langid.fit(p, short)
+    monkeypatch.setattr(langid, "LONG", 2)
+    assert np.allclose(langid.fit(p, short), want)
+
+
 def test_languages_of_the_corpus(spark, data, docs):
     got = queries.op8_language_id(spark, f"{data}/sf0.01").toPandas().merge(docs, on="doc_id")
     assert (got.language == got.lang).mean() > 0.97
