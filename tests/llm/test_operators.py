@@ -372,9 +372,26 @@ def test_token_counts_are_those_of_the_tokenizer(docs):
     with open(tokens.VOCABULARY, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encoding = tiktoken.Encoding("own", pat_str=tokens.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    some = [*docs.text[:300], "", "   \n\n x", "aaaaaaaaaaaaaaaaaaaaa", "日本語 ﷽ 🙂🙂", "don't I'LL", "<|endoftext|>", None]
-    n, k = tokens.TokenCounter()(pa.array(some))
-    assert n.tolist() == [-1 if t is None else len(encoding.encode_ordinary(t)) for t in some] and k[-1] == -1
+    some = [*docs.text[:300], "", "   \n\n x", "aaaaaaaaaaaaaaaaaaaaa", "日本語 ﷽ 🙂🙂", "don't I'LL", "<|endoftext|>", None, "x" * 5000, " " * 3000]
+    n, k = tokens.tokenizer().counts(pa.array(some))
+    assert n.tolist() == [-1 if t is None else len(encoding.encode_ordinary(t)) for t in some] and k[6 + 300] == -1
+    ids = {}
+    for a, b, flat, bounds in tokens.tokenizer().tokens(pa.array(some)):
+        ids |= {a + i: flat[bounds[i] : bounds[i + 1]].tolist() for i in range(b - a)}
+    assert [ids[i] for i in range(len(some))] == [encoding.encode_ordinary(t or "") for t in some]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_pretokens_are_those_of_the_pattern(seed):
+    import regex
+
+    r = random.Random(seed)
+    alphabet = ["a", "s", "t", "ll", "ve", "re", "S", "é", "漢", "1", "²", "'", "'", " ", " ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "-", "🙂", "\u0301", "_"]
+    some = ["".join(r.choice(alphabet) for _ in range(r.randrange(40))) for _ in range(300)]
+    data, offsets = texts.buffers(pa.array(some))
+    starts, ends = tokens.pretokens(data, offsets)
+    raw = data.tobytes()
+    assert [raw[a:b].decode() for a, b in zip(starts, ends)] == [w for t in some for w in regex.findall(tokens.PATTERN, t)]
 
 
 # 10 SimHash
