@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,10 +30,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+_written: list[list[str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and go on from there (reliable checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder once and go on from the table.
+
+    A table's size is known, whereas a checkpoint carries on the estimate of the plan it came
+    from, which joins multiply: in a loop the number itself soon takes longer than the work.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    for names in _written:
+        names.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What ``cut`` writes inside is deleted at the end; so results must be stored before."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _written.pop():
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

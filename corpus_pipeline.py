@@ -1,7 +1,8 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Every stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read
-again as the next one's ``docs``. All but the last keep the columns of ``docs``.
+again as the next one's ``docs``. All but the last keep the columns of ``docs``, whatever they are named besides
+doc_id and text. An empty table stays empty; texts are taken whole, however long.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from burstframe.llm import decontam, packing, pii, quality, simhash
-from burstframe.session import ensure_checkpoint_dir, table
+from burstframe.session import ensure_checkpoint_dir, scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,17 +27,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go."""
+    """Documents that hold a passage of a benchmark item go; null and empty texts stay, rows that repeat are judged each."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Identifiers and secrets are replaced by their kind."""
+    """Identifiers and secrets are replaced by their kind; null and empty texts stay as they are, and no row goes."""
     return pii.masked(docs, pii.detector(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document in a training sequence."""
+    """A row for each training sequence, with its tokens and the documents they are of; a null text is in none, an empty one is its end alone."""
     return packing.pack(docs)
 
 
@@ -58,6 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
