@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_suffix_array": suffix.oracle(), "op6_decontamination": decontam.oracle(), "op7_url_filters": urls.oracle()}
+    return {"op5_suffix_array": suffix.oracle(), "op6_decontamination": decontam.oracle(), "op7_url_filters": urls.oracle(), "op10_simhash": simhash.oracle()}

@@ -3,13 +3,17 @@
 A document's fingerprint has 256 bits, 64 of them indexed, and sums the hashes of its
 distinct words (lower case). Two fingerprints are near if the indexed bits differ in at most
 ``budget`` places and all bits in at most ``budget_all``. The join is exact: it finds every
-such pair. Documents of equal fingerprint are one node; near nodes are joined into groups by
-connected components, and a group keeps its least doc_id.
+such pair, at any size. Fingerprints that agree in some bits (by the pigeonhole principle; the more
+fingerprints, the more bits) are a task; one with more than ``per_task`` of them is split into pairs of nodes of its trie,
+until each fits into a worker, which goes on down the trie. Documents of equal fingerprint are one node; near
+nodes are joined into groups by connected components, and a group keeps its least doc_id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +27,14 @@ from . import texts
 
 BUDGET, BUDGET_ALL = 11, 52
 #: The indexed bits are four blocks of 16; by the pigeonhole principle some block of a near pair
-#: differs in at most budget // 4 places, and then one of its budget // 4 + 1 parts not at all.
+#: differs in at most budget // 4 places. Of ``parts`` of that block all but budget // 4 agree.
 BLOCKS, BLOCK_BITS = 4, 16
+#: Fingerprints that a worker joins at once; bits of a trie that one step of splitting goes down.
+PER_TASK, STEP = 50_000, 4
+#: Rows of tasks that are handed to a worker together, on average; small tasks would cost more to hand over than to do.
+PER_BUNDLE = 100_000
+#: Most parts of a block: with 8, and budget // 4 = 2, a fingerprint is in 28 tasks for each block, with those that share 12 bits.
+MOST_PARTS = 8
 _SEEDS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -71,39 +81,61 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").where("text IS NOT NULL AND doc_id IS NOT NULL").mapInArrow(_fingerprint_batches, "doc_id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
 
 
-def _parts(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of the parts of a block of which one must agree."""
-    edges = np.linspace(0, BLOCK_BITS, radius + 2).astype(int)
-    return [(int(a), int(b - a)) for a, b in zip(edges, edges[1:])]
+def parts_for(n: int, radius: int, per_task: int = PER_TASK) -> int:
+    """Parts of a block for ``n`` fingerprints: as few as give tasks of ``per_task`` on average."""
+    for parts in range(radius + 1, max(radius + 1, MOST_PARTS if radius else 1) + 1):
+        if n / 2 ** (BLOCK_BITS * (parts - radius) / parts) <= per_task:
+            break
+    return parts
+
+
+@lru_cache(8)
+def _places(parts: int, radius: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(block, mask) of every place: all choices of ``parts`` - ``radius`` parts of every block; and each place's
+    order of the 256 bits: the mask's first, then the block's others, the others of the indexed ones, the rest."""
+    edges = np.linspace(0, BLOCK_BITS, parts + 1).astype(int)
+    each = [sum(1 << k for k in range(a, b)) for a, b in zip(edges, edges[1:])]
+    masks = [sum(c) for c in combinations(each, parts - radius)]
+    places = [(block, mask) for block in range(BLOCKS) for mask in masks]
+    order = [sorted(range(256), key=lambda k: (k >= 64, k // BLOCK_BITS != block or k >= 64, not (k // BLOCK_BITS == block and mask >> k % BLOCK_BITS & 1), k)) for block, mask in places]
+    return places, np.array(order, np.int64)
 
 
-def trie_join(index: np.ndarray, block: int, part: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i < j) of ``index`` (uint64, equal in the given part of the given block) within the budget.
+def _bits(f: np.ndarray) -> np.ndarray:
+    """(n, 256) from (n, 4) words."""
+    return np.unpackbits(np.ascontiguousarray(f).view(np.uint8).reshape(len(f), 32), axis=1, bitorder="little")
 
-    The trie reads the block's bits first, then the others. It is traversed level by level
+
+def trie_join(f: np.ndarray, side: np.ndarray, own: bool, place: int, depth: int, err: int, parts: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of ``f`` (n, 4) whose indexed bits are within the budget: all pairs of one node, or of
+    the two that ``side`` tells apart, at ``depth`` of the place's trie with ``err`` bits that differ above.
+
+    The trie reads the bits in the place's order. It is traversed level by level
     over node pairs, each with the bits that differ so far; a pair of nodes goes no deeper
     once it has more than budget // 4 of them within the block, or ``budget`` in all. Nodes
     are ranges of the sorted keys; node pairs below which few key pairs remain are compared at once.
-    A pair that an earlier block or part also finds is left to that one.
+    A pair that an earlier place also finds is left to that one.
     """
     radius = budget // BLOCKS
-    shift = np.uint64(BLOCK_BITS * block)
-    keys = (index >> shift) | (index << (np.uint64(64) - shift)) if block else index.copy()
-    # The block's bits to the top, so that sorting makes it the trie's first levels.
-    keys = (keys << np.uint64(64 - BLOCK_BITS)) | (keys >> np.uint64(BLOCK_BITS))
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    n = len(keys)
-    a0, a1, b0, b1 = (np.array([x], np.int64) for x in (0, n, 0, n))
-    err = np.zeros(1, np.int64)
-    for level in range(64):
+    places, orders = _places(parts, radius)
+    keys = np.ascontiguousarray(np.packbits(_bits(f)[:, orders[place, :64]], axis=1)).view(">u8")[:, 0].astype(np.uint64)
+    # Both nodes' keys part above ``depth``, so sorting leaves each in one piece.
+    order = np.lexsort((side, keys))
+    keys, n = keys[order], len(keys)
+    index = np.ascontiguousarray(f[:, 0])
+    cut_ = n if own else int(np.searchsorted(side[order] != side[order[0]], True))
+    if not own and cut_ == n:
+        return
+    a0, a1, b0, b1 = (np.array([x], np.int64) for x in ((0, n, 0, n) if own else (0, cut_, cut_, n)))
+    err = np.array([err], np.int64)
+    for level in range(depth, 64):
         if len(a0) == 0:
             break
         allowed = radius if level < BLOCK_BITS else budget
         size = (a1 - a0) * (b1 - b0)
         if level >= BLOCK_BITS:
             small = size <= 4096
-            yield from _compare(index, order, a0[small], a1[small], b0[small], b1[small], block, part, budget)
+            yield from _compare(index, order, a0[small], a1[small], b0[small], b1[small], place, parts, budget)
             a0, a1, b0, b1, err = (x[~small] for x in (a0, a1, b0, b1, err))
             if len(a0) == 0:
                 break
@@ -125,10 +157,18 @@ def trie_join(index: np.ndarray, block: int, part: int, budget: int) -> Iterator
                 out.append((al[ok], ah[ok], bl[ok], bh[ok], e[ok]))
         a0, a1, b0, b1, err = (np.concatenate(x) for x in zip(*out))
     else:
-        yield from _compare(index, order, a0, a1, b0, b1, block, part, budget)
-
-
-def _compare(index: np.ndarray, order: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, block: int, part: int, budget: int, at_once: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield from _compare(index, order, a0, a1, b0, b1, place, parts, budget)
+
+
+def _compare(index: np.ndarray, order: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, place: int, parts: int, budget: int, at_once: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    # A pair of large nodes is cut into pairs of their rows with the other, so that ``at_once`` bounds the memory.
+    wide = np.maximum(1, at_once // np.maximum(b1 - b0, 1))
+    many = -(-(a1 - a0) // wide)
+    of = np.repeat(np.arange(len(a0)), many)
+    step = (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)) * wide[of]
+    full = a1[of]
+    a0, whole = a0[of] + step, a0[of]
+    a1, b0, b1 = np.minimum(a0 + wide[of], full), b0[of], b1[of]
     size = (a1 - a0) * (b1 - b0)
     ends = np.cumsum(size)
     start = 0
@@ -138,55 +178,141 @@ def _compare(index: np.ndarray, order: np.ndarray, a0: np.ndarray, a1: np.ndarra
         s = slice(start, stop)
         pair = np.repeat(np.arange(start, stop), size[s])
         k = np.arange(len(pair)) - np.repeat(ends[s] - size[s] - done, size[s])
-        wide = (b1 - b0)[pair]
-        i, j = a0[pair] + k // wide, b0[pair] + k % wide
-        ok = (i < j) | (a0[pair] != b0[pair])
+        across = (b1 - b0)[pair]
+        i, j = a0[pair] + k // across, b0[pair] + k % across
+        ok = (i < j) | (whole[pair] != b0[pair])
         i, j = order[i[ok]], order[j[ok]]
         differ = index[i] ^ index[j]
         ok = np.bitwise_count(differ) <= budget
         i, j, differ = i[ok], j[ok], differ[ok]
-        ok = _first(differ, budget) == (block * 64 + part)
+        ok = _first(differ, parts, budget) == place
         i, j = i[ok], j[ok]
         if len(i):
             yield np.minimum(i, j), np.maximum(i, j)
         start = stop
 
 
-def _first(differ: np.ndarray, budget: int) -> np.ndarray:
-    """The first (block, part) that finds a pair with these differing bits, as block * 64 + part."""
+def _first(differ: np.ndarray, parts: int, budget: int) -> np.ndarray:
+    """The first place that finds a pair with these differing bits."""
     radius = budget // BLOCKS
     out = np.full(len(differ), -1)
-    for block in reversed(range(BLOCKS)):
+    for place, (block, mask) in reversed([*enumerate(_places(parts, radius)[0])]):
         bits = (differ >> np.uint64(BLOCK_BITS * block)) & np.uint64((1 << BLOCK_BITS) - 1)
-        near = np.bitwise_count(bits) <= radius
-        for part, (low, width) in reversed([*enumerate(_parts(radius))]):
-            agree = ((bits >> np.uint64(low)) & np.uint64((1 << width) - 1)) == 0
-            out[near & agree] = block * 64 + part
+        out[(np.bitwise_count(bits) <= radius) & (bits & np.uint64(mask) == 0)] = place
     return out
 
 
-def near_pairs(prints: DataFrame, budget: int = BUDGET, budget_all: int = BUDGET_ALL) -> DataFrame:
-    """(a, b): node ids of near fingerprints. ``prints`` has node and f0 .. f3, one row for each node.
-
-    Every node goes to one group for each part of each block, by the part's value; in a group
-    all nodes agree in that part and the trie join finds the near pairs.
+_NAMES = ("task", "place", "depth", "err", "own", "side", "node", "f0", "f1", "f2", "f3")
+_KINDS = ("bigint", "int", "int", "int", "boolean", "int", "bigint", "bigint", "bigint", "bigint", "bigint")
+_MEMBER = ", ".join(map(" ".join, zip(_NAMES, _KINDS)))
+
+
+def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(batch.schema.names)}
+
+
+def _step(depth: np.ndarray) -> np.ndarray:
+    """Levels that a split goes down: STEP, but not beyond the block, the indexed bits or all bits."""
+    return np.minimum(STEP, np.where(depth < BLOCK_BITS, BLOCK_BITS, np.where(depth < 64, 64, 256)) - depth)
+
+
+def _child(parts: int, radius: int):
+    """Members of large tasks with the child node ``x`` of their node that each is in; bits that all of the task share are skipped first."""
+
+    def child(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders = _places(parts, radius)[1]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = _columns(batch)
+            order = orders[col["place"]]
+            some = _bits(np.stack([col[f"and{k}"] ^ col[f"or{k}"] for k in range(4)], axis=1))
+            differs = np.take_along_axis(some, order, axis=1).astype(bool) & (np.arange(256) >= col["depth"][:, None])
+            depth = differs.argmax(axis=1).astype(np.int64)
+            bits = np.take_along_axis(_bits(np.stack([col[f"f{k}"] for k in range(4)], axis=1)), order, axis=1)
+            x, step = np.zeros(len(depth), np.int32), _step(depth)
+            for k in range(STEP):
+                x = np.where(k < step, x << 1 | bits[np.arange(len(x)), np.minimum(depth + k, 255)], x)
+            at = {**{n: batch.column(k) for k, n in enumerate(batch.schema.names)}, "depth": pa.array(depth.astype(np.int32)), "x": pa.array(x.astype(np.int32))}
+            yield pa.RecordBatch.from_arrays([at[n] for n in (*_NAMES, "x")], names=[*_NAMES, "x"])
+
+    return child
+
+
+def _split(radius: int, budget: int, budget_all: int):
+    """Members of large tasks, each to the pairs of child nodes that may hold a partner: ``seen`` tells which there are."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = _columns(batch)
+            depth = col["depth"].astype(np.int64)
+            below = depth + _step(depth)
+            allowed = np.where(below <= BLOCK_BITS, radius, np.where(below <= 64, budget, budget_all))
+            out = []
+            for y in range(1 << STEP):
+                e = col["err"] + np.bitwise_count(col["x"] ^ y)
+                ok = np.flatnonzero((col["seen"] >> y & 1 == 1) & (e <= allowed))
+                mine, other, own, side = col["x"][ok], np.full(len(ok), y), col["own"][ok].astype(bool), col["side"][ok]
+                swap = np.where(own, mine > other, side == 1)
+                low, high = np.where(swap, other, mine), np.where(swap, mine, other)
+                task = texts.mix(col["task"][ok].view(np.uint64) ^ texts.mix((low << STEP | high).astype(np.uint64) + np.uint64(1))).view(np.int64)
+                out.append((task, ok, e[ok], own & (mine == other), np.where(own, swap, side)))
+            task, ok, e, own, side = (np.concatenate(c) for c in zip(*out))
+            for lo in range(0, len(ok), 50_000):
+                s = slice(lo, lo + 50_000)
+                k = ok[s]
+                yield pa.RecordBatch.from_arrays([pa.array(task[s]), pa.array(col["place"][k]), pa.array(below[k].astype(np.int32)), pa.array(e[s].astype(np.int32)), pa.array(own[s]), pa.array(side[s].astype(np.int32)), *(pa.array(col[n][k]) for n in _NAMES[6:])], names=_NAMES)
+
+    return split
+
+
+def near_pairs(prints: DataFrame, budget: int = BUDGET, budget_all: int = BUDGET_ALL, per_task: int = PER_TASK) -> DataFrame:
+    """(a, b): node ids of near fingerprints. ``prints`` has node and f0 .. f3, one row for each fingerprint.
+
+    Every fingerprint is in one task for each place, by its bits there; in a task
+    all agree in those bits and the trie join finds the near pairs. A task of more than ``per_task`` is split as often as it takes.
     """
     radius = budget // BLOCKS
-    tables = [F.struct(F.lit(block * 64 + part).alias("place"), F.shiftrightunsigned("f0", BLOCK_BITS * block + low).bitwiseAND(F.lit((1 << width) - 1)).cast("int").alias("value")) for block in range(BLOCKS) for part, (low, width) in enumerate(_parts(radius))]
-    groups = prints.select("node", "f0", "f1", "f2", "f3", F.explode(F.array(*tables)).alias("t")).select("t.place", "t.value", "node", "f0", "f1", "f2", "f3")
-
-    def join(key: tuple, group: pa.Table) -> pa.Table:
-        place = key[0].as_py()
-        f = np.stack([group.column(f"f{k}").to_numpy() for k in range(4)]).view(np.uint64)
-        node = group.column("node").to_numpy()
+    n = prints.count()
+    parts = parts_for(n, radius, per_task)
+    places, _ = _places(parts, radius)
+    bundles = max(64, n * len(places) // PER_BUNDLE)
+    value = [F.struct(F.lit(k).alias("place"), F.lit(mask.bit_count()).alias("depth"), F.shiftrightunsigned("f0", BLOCK_BITS * block).bitwiseAND(F.lit(mask)).alias("value")) for k, (block, mask) in enumerate(places)]
+    current = prints.select("node", "f0", "f1", "f2", "f3", F.explode(F.array(*value)).alias("t")).select(F.xxhash64("t.place", "t.value").alias("task"), "t.place", "t.depth", F.lit(0).alias("err"), F.lit(True).alias("own"), F.lit(0).alias("side"), "node", "f0", "f1", "f2", "f3")
+    tasks = None
+    while True:
+        common = [F.expr(f"bit_{kind}(f{k})").alias(f"{kind}{k}") for kind in ("and", "or") for k in range(4)]
+        large = cut(current.groupBy("task").agg(F.count("*").alias("n"), *common).where(F.col("n") > per_task).drop("n"))
+        some = not large.isEmpty()
+        fit = current.join(large, "task", "left_anti") if some else current
+        tasks = fit if tasks is None else tasks.unionByName(fit)
+        if not some:
+            break
+        placed = cut(current.join(large, "task").mapInArrow(_child(parts, radius), _MEMBER + ", x int"))
+        # Sixteen children at most are a number of bits; a node with no partner is sent nowhere.
+        seen = placed.groupBy("task", "own", "side").agg(F.expr("bit_or(shiftleft(1, x))").alias("seen")).select("task", F.when(F.col("own"), F.col("side")).otherwise(1 - F.col("side")).alias("side"), "seen")
+        current = cut(placed.join(seen, ["task", "side"]).select(*_NAMES, "x", "seen").mapInArrow(_split(radius, budget, budget_all), _MEMBER))
+
+    def join(bundle: pa.Table) -> pa.Table:
+        col = {c: bundle.column(c).to_numpy() for c in bundle.column_names}
+        order = np.argsort(col["task"], kind="stable")
+        col = {c: v[order] for c, v in col.items()}
+        f = np.stack([col[f"f{k}"] for k in range(4)], axis=1).view(np.uint64)
+        cuts = np.flatnonzero(np.append(True, col["task"][1:] != col["task"][:-1]))
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, j in trie_join(f[0], place // 64, place % 64, budget):
-            ok = np.bitwise_count(f[:, i] ^ f[:, j]).sum(axis=0, dtype=np.int64) <= budget_all
-            a.append(node[i[ok]])
-            b.append(node[j[ok]])
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+            if hi - lo < 2:
+                continue
+            for i, j in trie_join(f[lo:hi], col["side"][lo:hi], bool(col["own"][lo]), int(col["place"][lo]), int(col["depth"][lo]), int(col["err"][lo]), parts, budget):
+                i, j = i + lo, j + lo
+                ok = np.bitwise_count(f[i] ^ f[j]).sum(axis=1, dtype=np.int64) <= budget_all
+                a.append(col["node"][i[ok]])
+                b.append(col["node"][j[ok]])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return groups.groupBy("place", "value").applyInArrow(join, "a bigint, b bigint")
+    return tasks.withColumn("bundle", F.pmod(F.xxhash64("task"), F.lit(bundles))).groupBy("bundle").applyInArrow(join, "a bigint, b bigint")
 
 
 def _prints(docs: DataFrame) -> DataFrame:
@@ -230,3 +356,38 @@ def deduplicate(docs: DataFrame, budget: int = BUDGET, budget_all: int = BUDGET_
     once = kept.join(twice, kept["doc_id"] == twice["__twice"], "left_anti")
     again = kept.join(twice, kept["doc_id"] == twice["__twice"], "left_semi")
     return once.unionByName(again.where("text IS NULL")).unionByName(again.where("text IS NOT NULL").dropDuplicates(["doc_id", "text"]))
+
+
+def _mixed(x: str) -> str:
+    """The splitmix64 finaliser of an unsigned number in SQL."""
+    times = lambda e, c: f"((({e})::UHUGEINT * {c}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = times(f"xor({x}, ({x}) >> {shift})", factor)
+    return f"xor({x}, ({x}) >> 31)"
+
+
+def oracle(budget: int = BUDGET, budget_all: int = BUDGET_ALL) -> str:
+    """Fingerprints from the texts, all pairs of them, and their components."""
+    power = texts._P % (1 << 64)
+    words = r"regexp_extract_all(lower(text), '[0-9A-Za-z_\x{80}-\x{10FFFF}]+')"
+    bit = lambda k, b: f"CASE WHEN 2 * sum((g{k} >> {b}) & 1) >= count(*) THEN {1 << b}::UBIGINT ELSE 0::UBIGINT END"
+    four = ", ".join(f"f{k}" for k in range(4))
+    differ = [f"bit_count(xor(x.f{k}, y.f{k})::BIT)" for k in range(4)]
+    return f"""
+    WITH RECURSIVE t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+    l AS MATERIALIZED (SELECT r, unnest(CASE WHEN len({words}) = 0 THEN [text] ELSE list_distinct({words}) END) AS word FROM t),
+    v AS MATERIALIZED (SELECT word, hex(word) AS x, len(hex(word)) // 2 AS n FROM (SELECT DISTINCT word FROM l)),
+    p(i, p) AS (SELECT 0, 1::UBIGINT UNION ALL SELECT i + 1, ((p::UHUGEINT * {power}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT FROM p WHERE i < (SELECT max(n) FROM v)),
+    pp AS MATERIALIZED (SELECT i, p FROM p),
+    c AS (SELECT word, unnest(range(0, n)) AS i, x, n FROM v),
+    s AS (SELECT word, sum((('0x' || substr(x, 2 * i + 1, 2))::INT + 1)::HUGEINT * p::HUGEINT % 18446744073709551616) AS s FROM c JOIN pp USING (i) GROUP BY word),
+    h AS MATERIALIZED (SELECT v.word, {_mixed('u')} AS h FROM (SELECT word, ((coalesce(s, 0) + n) % 18446744073709551616)::UBIGINT AS u FROM v LEFT JOIN s USING (word)) v),
+    g AS MATERIALIZED (SELECT word, {", ".join(f"{_mixed(f'xor(h, {int(seed)}::UBIGINT)')} AS g{k}" for k, seed in enumerate(_SEEDS))} FROM h),
+    f AS MATERIALIZED (SELECT r, {", ".join("(" + " + ".join(bit(k, b) for b in range(64)) + f") AS f{k}" for k in range(4))} FROM l JOIN g USING (word) GROUP BY r),
+    prints AS MATERIALIZED (SELECT DISTINCT doc_id, {four} FROM t JOIN f USING (r)),
+    nodes AS MATERIALIZED (SELECT {four}, min(doc_id) AS node, count(*) AS n FROM prints GROUP BY {four}),
+    e AS MATERIALIZED (SELECT x.node AS a, y.node AS b FROM nodes x JOIN nodes y ON x.node < y.node WHERE {differ[0]} <= {budget} AND {" + ".join(differ)} <= {budget_all}),
+    both_ways AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    reach(node, root) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT b, root FROM reach JOIN both_ways ON a = node),
+    part AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+    SELECT doc_id, min(coalesce(root, node)) AS group_doc_id, doc_id = min(coalesce(root, node)) AS kept FROM prints JOIN nodes USING ({four}) LEFT JOIN part USING (node) WHERE n > 1 OR root IS NOT NULL GROUP BY doc_id"""

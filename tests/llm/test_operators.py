@@ -406,8 +406,9 @@ def test_pretokens_are_those_of_the_pattern(seed):
 # 10 SimHash
 
 
-@pytest.mark.parametrize("budget", [0, 3, 7, 11])
-def test_trie_join_finds_every_pair_once(spark, budget):
+@pytest.mark.parametrize("budget, per_task", [(0, 50_000), (3, 30), (11, 50_000), (11, 100), (11, 20)])
+def test_trie_join_finds_every_pair_once(spark, budget, per_task):
+    """Also with tasks so small that the trie is split again and again, and with equal indexed bits."""
     rng = np.random.default_rng(budget)
     base = rng.integers(0, 2**63, (60, 4), dtype=np.int64)
     rows = [base[i % 60].copy() for i in range(600)]
@@ -416,12 +417,22 @@ def test_trie_join_finds_every_pair_once(spark, budget):
             r[0] ^= np.int64(1) << np.int64(bit) if bit < 63 else np.int64(-(2**63))
         for bit in rng.integers(0, 63, rng.integers(0, 60)):
             r[rng.integers(1, 4)] ^= np.int64(1) << np.int64(bit)
-    f = np.array(rows)
-    df = spark.createDataFrame([(i, *map(int, r)) for i, r in enumerate(rows)], "node bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
-    got = [tuple(sorted(p)) for p in simhash.near_pairs(df, budget, 52).collect()]
+    rows += [base[0] ^ np.array([0, k, 0, 0]) for k in range(1, 41)]
+    f = np.unique(np.array(rows), axis=0)
+    n = len(f)
+    df = spark.createDataFrame([(i, *map(int, r)) for i, r in enumerate(f)], "node bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+    got = [tuple(sorted(p)) for p in simhash.near_pairs(df, budget, 52, per_task).collect()]
     x = (f[:, None] ^ f[None]).view(np.uint64)
     one, all_ = np.bitwise_count(x[:, :, 0]), np.bitwise_count(x).sum(axis=2)
-    assert sorted(got) == [(i, j) for i in range(600) for j in range(i + 1, 600) if one[i, j] <= budget and all_[i, j] <= 52]
+    assert sorted(got) == [(i, j) for i in range(n) for j in range(i + 1, n) if one[i, j] <= budget and all_[i, j] <= 52]
+
+
+def test_more_fingerprints_share_more_bits():
+    assert [simhash.parts_for(n, 2) for n in (10, 10**6, 5 * 10**6, 10**7, 10**9)] == [3, 3, 4, 4, 8] and simhash.parts_for(10**12, 0) == 1
+    for parts, radius in ((3, 2), (8, 2), (5, 1), (1, 0)):
+        places, orders = simhash._places(parts, radius)
+        assert all(sorted(o) == list(range(256)) for o in orders.tolist())
+        assert all({k % 16 for k in o[: mask.bit_count()]} == {k for k in range(16) if mask >> k & 1} and all(k // 16 == block for k in o[:16]) for (block, mask), o in zip(places, orders.tolist()))
 
 
 def test_near_copies_share_a_group_and_others_do_not(spark):
