@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from . import texts
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Most texts a language's probabilities are fitted on (those of least hash), and most words of them all.
-SAMPLE, SAMPLE_WORDS = 250, 400_000
+#: Most texts a language's probabilities are fitted on: those of least hash, each as a whole.
+SAMPLE = 250
 ROUNDS, SMOOTHING = 3, 0.1
 CHUNK = 4 << 20
 REMEMBERED = 1_000_000
@@ -207,20 +207,6 @@ def fit(pieces: Pieces, words: dict[str, dict[bytes, int]], rounds: int = ROUNDS
     return np.stack(out, axis=1)
 
 
-def word_counts(samples: list[tuple[str, str]], most: int = SAMPLE_WORDS) -> dict[str, dict[bytes, int]]:
-    """Counted words of each language's texts, at most ``most`` words of each."""
-    out: dict[str, dict[bytes, int]] = {}
-    seen: dict[str, int] = {}
-    for language, text in samples:
-        counts = out.setdefault(language, {})
-        for w in text.encode().split():
-            if seen.get(language, 0) >= most:
-                break
-            seen[language] = seen.get(language, 0) + 1
-            counts[w] = counts.get(w, 0) + 1
-    return {k: v for k, v in out.items() if v}
-
-
 def train(docs: DataFrame, sample: int = SAMPLE, vocabulary: str = VOCABULARY) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities) from at most ``sample`` texts of each value of ``lang``; rows without one are passed over."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0").select("lang", F.col("doc_id").cast("bigint").alias("id"))
@@ -228,9 +214,11 @@ def train(docs: DataFrame, sample: int = SAMPLE, vocabulary: str = VOCABULARY) -
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     chosen = labelled.withColumn("rank", rank).where(F.col("rank") <= sample).select(F.col("lang").alias("__lang"), F.col("id").alias("__id"))
     own = docs.select(F.col("doc_id").cast("bigint").alias("__doc"), F.col("lang").alias("__of"), "text")
-    rows = own.join(F.broadcast(chosen), (F.col("__doc") == F.col("__id")) & (F.col("__of") == F.col("__lang"))).select("__id", "__lang", "text").collect()
-    samples = [(r["__lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["__lang"], r["__id"], r["text"]))]
-    words = word_counts(samples)
+    texts_ = own.join(F.broadcast(chosen), (F.col("__doc") == F.col("__id")) & (F.col("__of") == F.col("__lang"))).select("__lang", F.explode(F.split("text", r"[ \t\n\f\r]+")).alias("__word"))
+    # The driver gets the distinct words of the sampled texts, however long those are.
+    words: dict[str, dict[bytes, int]] = {}
+    for r in texts_.where("__word <> ''").groupBy("__lang", "__word").agg(F.count("*").alias("n")).toLocalIterator():
+        words.setdefault(r["__lang"], {})[r["__word"].encode()] = r["n"]
     return sorted(words), fit(Pieces(vocabulary), words) if words else np.zeros((0, 0))
 
 

@@ -13,6 +13,7 @@ from the scores of its distinct instances, and an instance's score from its patt
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from ..session import cut
 from . import texts
 
-ROUNDS = 3
+#: Most rounds; they end as soon as the sure patterns stay the same.
+ROUNDS = 10
 #: Weight of an instance of unknown nature against one known to be harmless, in a pattern's confidence.
 UNKNOWN = 0.05
 #: A pattern counts from this confidence and number of distinct instances; an occurrence is reported from this score.
@@ -33,6 +35,8 @@ LEAST_SECRET = 12
 #: Digits, or characters, of what a context alone may tell.
 LEAST_DIGITS, LEAST_MIXED = 7, 8
 CHUNK = 4 << 20
+#: Sure patterns that are sent to the workers (a hundred bytes each); more are joined with the occurrences instead.
+MOST_SENT = 200_000
 
 _DIGIT = np.zeros(256, np.int32)
 _DIGIT[48:58] = 1
@@ -166,15 +170,20 @@ def _each(column: pa.Array) -> Iterator[tuple[int, bytes, list]]:
         starts, ends, text = texts.spans(data, offsets, texts.IS_INK)
         marked = _marked(data, starts, ends, text)
         bounds = texts.per_text(text, b - a)
-        of = text[marked]
-        for i in np.unique(of).tolist():
+        of, first = np.unique(text[marked], return_index=True)
+        for i, m, n in zip(of.tolist(), first.tolist(), [*first[1:].tolist(), len(marked)]):
             base, lo, hi = int(offsets[i]), int(bounds[i]), int(bounds[i + 1])
             tokens = list(zip((starts[lo:hi] - base).tolist(), (ends[lo:hi] - base).tolist()))
             raw = data[base : offsets[i + 1]].tobytes()
-            yield a + i, raw, list(candidates(raw, tokens, (marked[of == i] - lo).tolist()))
+            yield a + i, raw, list(candidates(raw, tokens, (marked[m:n] - lo).tolist()))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def known(instance: str, before: str, hidden: float) -> str | None:
+    """The seed kind, but None for a share ``hidden`` of all instances: what patterns find of those tells how good they are."""
+    return None if zlib.crc32(instance.encode()) % 1000 < hidden * 1000 else seed(instance, before)
+
+
+def occurrences(docs: DataFrame, hidden: float = 0.0) -> DataFrame:
     """(instance, seed, patterns) of every candidate in the texts."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,19 +191,19 @@ def occurrences(docs: DataFrame) -> DataFrame:
             found: dict[tuple, None] = {}
             for _, _, some in _each(batch.column(0)):
                 for _, _, instance, before, after in some:
-                    found[instance, seed(instance, before), tuple(patterns(instance, before, after))] = None
+                    found[instance, known(instance, before, hidden), tuple(patterns(instance, before, after))] = None
             rows = list(found)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([list(r[2]) for r in rows], pa.list_(pa.string()))], names=["instance", "seed", "patterns"])
 
     return docs.select("text").where("text IS NOT NULL").mapInArrow(extract, "instance string, seed string, patterns array<string>")
 
 
-def bootstrap(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(docs: DataFrame, rounds: int = ROUNDS, hidden: float = 0.0) -> DataFrame:
     """(pattern, kind, confidence) of the sure patterns, from the graph over all candidates of the corpus."""
-    edges = cut(occurrences(docs).select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("instance", "pattern").agg(F.max("seed").alias("seed")))
+    edges = cut(occurrences(docs, hidden).select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("instance", "pattern").agg(F.max("seed").alias("seed")))
     # An instance's own word on what it is: its seed kind surely, if it has one.
     scores = edges.where("seed IS NOT NULL").groupBy("instance").agg(F.max("seed").alias("kind")).withColumn("score", F.lit(1.0))
-    sure = None
+    sure = sign = None
     for _ in range(rounds):
         known = scores.groupBy("instance").agg(F.map_from_entries(F.collect_list(F.struct("kind", "score"))).alias("kinds"))
         linked = edges.select("instance", "pattern").join(known, "instance", "left")
@@ -204,6 +213,10 @@ def bootstrap(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         # Any unknown number may stand between two words, so there only what is known supports a kind.
         support = F.when(F.col("pattern").rlike("_ .*#(digits|mixed)$"), F.least("n", "for_it")).otherwise(F.col("n"))
         sure = cut(shares.where((support >= SUPPORT) & (F.col("kind") != "none")).withColumn("confidence", F.col("for_it") / (F.col("for_all") + F.col("unknown") + 0.1)).where(F.col("confidence") >= CONFIDENCE).select("pattern", "kind", "confidence"))
+        now = sure.agg(F.count("*"), F.sum(F.xxhash64("pattern", "kind", F.round("confidence", 6)).cast("decimal(38,0)"))).first()
+        if now == sign:
+            break
+        sign = now
         seeds = edges.where("seed IS NOT NULL").groupBy("instance").agg(F.max("seed").alias("kind"))
         found = edges.join(sure, "pattern").join(seeds.select("instance"), "instance", "left_anti").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1.0 - F.least("confidence", F.lit(0.999)))))).alias("score"))
         scores = seeds.withColumn("score", F.lit(1.0)).unionByName(found)
@@ -211,13 +224,15 @@ def bootstrap(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 class Detector:
-    def __init__(self, sure: dict[str, list[tuple[str, float]]]):
-        self.sure = sure
+    """Sure patterns: ``sure`` holds them all, or is None where ``table`` has too many of them to be sent to workers."""
+
+    def __init__(self, sure: dict[str, list[tuple[str, float]]] | None, table: DataFrame | None = None, hidden: float = 0.0):
+        self.sure, self.table, self.hidden = sure, table, hidden
 
     def kind(self, instance: str, before: str, after: str) -> tuple[str, float] | None:
-        known = seed(instance, before)
-        if known:
-            return None if known == "none" else (known, 1.0)
+        seeded = known(instance, before, self.hidden)
+        if seeded:
+            return None if seeded == "none" else (seeded, 1.0)
         miss: dict[str, float] = {}
         for p in patterns(instance, before, after):
             for kind, confidence in self.sure.get(p, ()):
@@ -228,63 +243,119 @@ class Detector:
         return (kind, 1 - miss[kind]) if 1 - miss[kind] >= REPORT else None
 
 
-def detector(docs: DataFrame, rounds: int = ROUNDS) -> Detector:
-    """What the corpus taught. Only sure patterns with SUPPORT distinct instances reach the driver."""
+def detector(docs: DataFrame, rounds: int = ROUNDS, hidden: float = 0.0, most_sent: int = MOST_SENT) -> Detector:
+    """What the corpus taught. At most ``most_sent`` sure patterns, each with SUPPORT distinct instances, reach the driver."""
+    table = bootstrap(docs, rounds, hidden)
+    if table.count() > most_sent:
+        return Detector(None, table, hidden)
     sure: dict[str, list] = {}
-    for r in bootstrap(docs, rounds).orderBy("pattern", "kind").toLocalIterator():
+    for r in table.orderBy("pattern", "kind").toLocalIterator():
         sure.setdefault(r["pattern"], []).append((r["kind"], r["confidence"]))
-    return Detector(sure)
+    return Detector(sure, None, hidden)
 
 
-def found(docs: DataFrame, known: Detector) -> DataFrame:
+def _joined(rows: DataFrame, d: Detector) -> DataFrame:
+    """(row, doc_id, kind, value, start, length, score) as ``found``, by a join of the occurrences in (row, doc_id, text) with the sure patterns."""
+    hidden = d.hidden
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row, raw, some in _each(batch.column(2)):
+                chars = _characters(raw)
+                out += [(row, instance, int(chars[start]), int(chars[end] - chars[start]), known(instance, before, hidden), patterns(instance, before, after)) for start, end, instance, before, after in some]
+            row, *rest = zip(*out) if out else ((),) * 6
+            at = pa.array(row, pa.int64())
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, k) for c, k in zip(rest, kinds))], names=["row", "doc_id", "value", "start", "length", "seed", "patterns"])
+
+    every = cut(rows.where("text IS NOT NULL").mapInArrow(extract, "row bigint, doc_id bigint, value string, start int, length int, seed string, patterns array<string>"))
+    place = ["row", "doc_id", "value", "start", "length"]
+    one = every.where("seed IS NULL").select(*place, F.explode("patterns").alias("pattern")).join(d.table, "pattern")
+    scores = one.groupBy(*place, "kind").agg((1 - F.exp(F.sum(F.log(1.0 - F.least("confidence", F.lit(0.999)))))).alias("score"))
+    best = scores.groupBy(*place).agg(F.min_by(F.struct("kind", "score"), F.struct(-F.col("score"), F.col("kind"))).alias("b")).select(*place, "b.*").where(F.col("score") >= REPORT)
+    seeds = every.where("seed IS NOT NULL AND seed <> 'none'").select(*place, F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
+    return seeds.unionByName(best)
+
+
+def _characters(raw: bytes) -> np.ndarray:
+    """Characters before each byte of a text, and in all of it."""
+    return np.append(0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80))
+
+
+def found(docs: DataFrame, learnt: Detector) -> DataFrame:
     """(doc_id, kind, value, start, length, score): every identifier, by characters of its text.
 
-    Null and empty texts, and texts without identifiers, give no row. Rows that repeat are
-    searched each; a null doc_id is carried. Only doc_id and text are read.
+    Null and empty texts, and texts without identifiers, give no row, nor does an empty table. Rows that repeat are
+    searched each; a null doc_id is carried; texts are searched whole, however long. Kinds that tie go by the alphabet. Only doc_id and text are read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(known.sure)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    if learnt.sure is None:
+        return _joined(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), learnt).select("doc_id", "kind", "value", "start", "length", "score")
+    shared, hidden = docs.sparkSession.sparkContext.broadcast(learnt.sure), learnt.hidden
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = Detector(shared.value)
+        d = Detector(shared.value, None, hidden)
         for batch in batches:
             rows = []
             for row, raw, some in _each(batch.column(1)):
+                chars = None
                 for start, end, instance, before, after in some:
                     if hit := d.kind(instance, before, after):
-                        at = len(raw[:start].decode())
-                        rows.append((row, hit[0], instance, at, len(raw[start:end].decode()), hit[1]))
+                        chars = _characters(raw) if chars is None else chars
+                        rows.append((row, hit[0], instance, int(chars[start]), int(chars[end] - chars[start]), hit[1]))
             row, kind, value, start, length, score = zip(*rows) if rows else ((),) * 6
             ids = batch.column(0).take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(kind, pa.string()), pa.array(value, pa.string()), pa.array(start, pa.int32()), pa.array(length, pa.int32()), pa.array(score, pa.float64())], names=["doc_id", "kind", "value", "start", "length", "score"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(search, "doc_id bigint, kind string, value string, start int, length int, score double")
+    return rows.mapInArrow(search, "doc_id bigint, kind string, value string, start int, length int, score double")
 
 
-def masked(docs: DataFrame, known: Detector) -> DataFrame:
-    """``docs`` with every identifier in the texts replaced by its kind, as <EMAIL>, and n_chars, if there is such a column, brought up to date."""
-    shared = docs.sparkSession.sparkContext.broadcast(known.sure)
+def masked(docs: DataFrame, learnt: Detector) -> DataFrame:
+    """``docs`` with every identifier in the texts replaced by its kind, as <EMAIL>, and n_chars, if there is such a column, brought up to date.
+
+    All rows stay: null and empty texts as they are, rows that repeat each, an empty table empty. Other columns, whatever they are named, are carried.
+    """
     at = docs.columns.index("text")
     schema = docs.schema
-
-    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = Detector(shared.value)
-        for batch in batches:
-            new: dict[int, str] = {}
-            for row, raw, some in _each(batch.column(at)):
-                parts, last = [], 0
-                for start, end, instance, before, after in some:
-                    if hit := d.kind(instance, before, after):
-                        parts += [raw[last:start], f"<{hit[0].upper()}>".encode()]
-                        last = end
-                if parts:
-                    new[row] = b"".join([*parts, raw[last:]]).decode()
-            if new:
-                old = batch.column(at).to_pylist()
-                texts_ = pa.array([new.get(i, t) for i, t in enumerate(old)], batch.schema.field(at).type)
-                batch = batch.set_column(at, batch.schema.field(at), texts_)
-            yield batch
-
-    out = docs.mapInArrow(mask, schema)
+    source = docs
+    if learnt.sure is None:
+        # Rows get a number that is stored, so that their spans find them again.
+        numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+        ids = numbered.select(F.col("__row").alias("row"), F.lit(None).cast("bigint").alias("doc_id"), "text")
+        lists = _joined(ids, learnt).groupBy("row").agg(F.collect_list(F.struct("start", "length", "kind")).alias("__spans"))
+        source = numbered.join(lists, numbered["__row"] == lists["row"], "left").select(*docs.columns, "__spans")
+
+        def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                old, spans = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+                for i, some in enumerate(spans):
+                    for one in sorted(some or (), key=lambda x: -x["start"]):
+                        old[i] = f"{old[i][: one['start']]}<{one['kind'].upper()}>{old[i][one['start'] + one['length'] :]}"
+                plain = batch.select(range(batch.num_columns - 1))
+                yield plain.set_column(at, plain.schema.field(at), pa.array(old, plain.schema.field(at).type))
+    else:
+        shared, hidden = docs.sparkSession.sparkContext.broadcast(learnt.sure), learnt.hidden
+
+        def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            d = Detector(shared.value, None, hidden)
+            for batch in batches:
+                new: dict[int, str] = {}
+                for row, raw, some in _each(batch.column(at)):
+                    parts, last = [], 0
+                    for start, end, instance, before, after in some:
+                        if hit := d.kind(instance, before, after):
+                            parts += [raw[last:start], f"<{hit[0].upper()}>".encode()]
+                            last = end
+                    if parts:
+                        new[row] = b"".join([*parts, raw[last:]]).decode()
+                if new:
+                    old = batch.column(at).to_pylist()
+                    texts_ = pa.array([new.get(i, t) for i, t in enumerate(old)], batch.schema.field(at).type)
+                    batch = batch.set_column(at, batch.schema.field(at), texts_)
+                yield batch
+
+    out = source.mapInArrow(mask, schema)
     if "n_chars" in docs.columns:
         kind = schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.length("text").cast(kind))

@@ -4,7 +4,8 @@ A token (a run of word bytes, Latin capitals in lower case) has hashed features:
 3 to 6 bytes, and its neighbours. Two states, clean and toxic, are chained by learned
 transitions. Labels are of documents; tokens of toxic documents are labelled by the features that
 labelled documents show to be toxic (smoothed purity). The forward-backward algorithm gives
-each token's marginal; the sum of high ones is the document's score, their runs are its spans.
+each token's marginal; the sum of high ones is the document's score, their runs are its spans. A document is
+reported for its sum, or for one token of very high marginal.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ ROUNDS, RATE, DECAY = 40, 0.5, 1e-3
 #: A token is in a span from this marginal; a document is reported from this sum of such tokens' marginals
 #: (the slight marginals of a long text's many clean tokens would add up otherwise).
 LEAST_TOKENS, LEAST_MARGINAL = 1.5, 0.5
+#: One token alone is enough from this marginal.
+SURE_MARGINAL = 0.98
 CHUNK = 8 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -206,7 +209,8 @@ def _found(column: pa.Array, field: Field, least_tokens: float, least_marginal:
         bounds = texts.per_text(text, b - a)
         p = marginals(field.emission(data, starts, ends, text, h), bounds, field.transition)
         expected = texts.sums_by(np.where(p >= least_marginal, p, 0.0), bounds)
-        for i in np.flatnonzero(expected >= least_tokens).tolist():
+        sure = texts.sums_by((p >= SURE_MARGINAL).astype(float), bounds) > 0
+        for i in np.flatnonzero((expected >= least_tokens) | sure).tolist():
             hot = np.flatnonzero(p[bounds[i] : bounds[i + 1]] >= least_marginal)
             cuts = np.flatnonzero(np.diff(hot) > 1)
             lo, hi = hot[np.append(0, cuts + 1)] if len(hot) else hot, hot[np.append(cuts, len(hot) - 1)] if len(hot) else hot

@@ -123,6 +123,57 @@ def test_private_data_of_the_corpus(spark, data, docs):
     assert total > 50 and missed == 0
 
 
+def test_hidden_seeds_are_found_by_context(spark, data):
+    """Half of the seeds are withheld; patterns find nearly all of them again."""
+    d = spark.read.parquet(f"{data}/sf0.1/documents.parquet")
+    every = {(r["doc_id"], r["start"]): (r["kind"], r["value"]) for r in pii.found(d, pii.Detector({})).collect()}
+    half = {(r["doc_id"], r["start"]): r["kind"] for r in pii.found(d, pii.detector(d, hidden=0.5)).collect()}
+    for kind in ("email", "phone", "secret"):
+        hidden = [k for k, (one, value) in every.items() if one == kind and pii.zlib.crc32(value.encode()) % 1000 < 500]
+        assert len(hidden) > 5 and sum(half.get(k) == kind for k in hidden) >= 0.8 * len(hidden)
+
+
+def test_pattern_graph_against_a_plain_walk(spark, docs):
+    rows = [(i, t) for i, t in zip(docs.doc_id.tolist(), docs.text) if re.search(r"[@=]|\d{6}", t)][:150]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    edges, seeds = {}, {}
+    for _, _, some in pii._each(pa.array([t for _, t in rows])):
+        for _, _, instance, before, after in some:
+            for x in pii.patterns(instance, before, after):
+                edges.setdefault(x, set()).add(instance)
+            if k := pii.seed(instance, before):
+                seeds[instance] = max(k, seeds.get(instance, k))
+    scores = {i: {k: 1.0} for i, k in seeds.items()}
+    for _ in range(pii.ROUNDS):
+        sure = {}
+        for x, members in edges.items():
+            total, unknown = {}, sum(i not in scores for i in members) * pii.UNKNOWN
+            for i in members:
+                for k, v in scores.get(i, {}).items():
+                    total[k] = total.get(k, 0) + v
+            for k, v in total.items():
+                support = min(len(members), v) if re.search(r"_ .*#(digits|mixed)$", x) else len(members)
+                confidence = v / (sum(total.values()) + unknown + 0.1)
+                if k != "none" and support >= pii.SUPPORT and confidence >= pii.CONFIDENCE:
+                    sure[x, k] = confidence
+        scores = {i: {k: 1.0} for i, k in seeds.items()}
+        for (x, k), c in sure.items():
+            for i in edges[x] - seeds.keys():
+                one = scores.setdefault(i, {})
+                one[k] = 1 - (1 - one.get(k, 0.0)) * (1 - min(c, 0.999))
+    got = {(r["pattern"], r["kind"]): r["confidence"] for r in pii.bootstrap(d).collect()}
+    assert got.keys() == sure.keys() and all(abs(got[x] - sure[x]) < 1e-4 for x in got)
+
+
+def test_many_sure_patterns_are_joined_with_the_same_result(spark, data):
+    d = spark.read.parquet(f"{data}/sf0.001/documents.parquet")
+    few, many = pii.detector(d), pii.detector(d, most_sent=0)
+    assert many.sure is None and few.sure
+    plain = lambda df: sorted((r["doc_id"], r["start"], r["length"], r["kind"], r["value"], round(r["score"], 9)) for r in df.collect())
+    assert plain(pii.found(d, few)) == plain(pii.found(d, many))
+    assert sorted(map(tuple, pii.masked(d, few).collect())) == sorted(map(tuple, pii.masked(d, many).collect()))
+
+
 # 3 toxicity
 
 
@@ -327,6 +378,22 @@ def test_branches_that_part_deep_in_the_path_are_judged_apart(spark):
     assert all(out[i]["template"] == "/en/*/*/*/news/" + ("casino/page" if i % 2 else "x/page") and out[i]["keep"] == (i % 2 == 0) for i in range(80))
 
 
+def test_planted_bad_hosts_and_branches_are_rejected(spark, data):
+    pages = spark.read.parquet(f"{data}/sf0.1/pages.parquet").select("page_id", "url").toPandas()
+    bad_host = pages.url.str.contains("casino|pills|bets|spam")
+    extra = [(10**6 + i, f"https://good.org/{part}/{i}/view") for i in range(200) for part in (("news", "deals") if i % 2 else ("blog", "deals"))]
+    rows = list(zip(pages.page_id.tolist(), pages.url)) + [(i * 2 + k % 2, u) for k, (i, u) in enumerate(extra)]
+    bad = {i for i, b in zip(pages.page_id.tolist(), bad_host) if b} | {i for i, u in rows if "/deals/" in u}
+    labels = [(i, int(i not in bad)) for i, _ in rows if i % 3 == 0]
+    d, l = spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame(labels, "doc_id bigint, quality int")
+    out = {r["page_id"]: r for r in urls.filtered(d, l).collect()}
+    assert len(bad) > 250 and sum(not out[i]["keep"] for i in bad) >= 0.98 * len(bad) and all(r["keep"] for i, r in out.items() if i not in bad)
+    # Branches without labels stay apart from siblings that differ.
+    rows = [(i, f"http://a.org/{p}/x") for i, p in enumerate(["good"] * 30 + ["bad"] * 30 + ["new"] * 5)]
+    out = urls.filtered(spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame([(i, int(i < 30)) for i in range(60)], "doc_id bigint, quality int"))
+    assert {(r["template"], r["keep"]) for r in out.collect()} == {("/good/x", True), ("/bad/x", False), ("/new/x", True)}
+
+
 # 8 languages
 
 
@@ -365,11 +432,19 @@ def test_languages_of_only_long_words_are_learnt(monkeypatch):
     assert np.allclose(langid.fit(p, short), want)
 
 
-def test_languages_of_the_corpus(spark, data, docs):
-    got = queries.op8_language_id(spark, f"{data}/sf0.01").toPandas().merge(docs, on="doc_id")
+def test_languages_held_out(spark, data, docs):
+    d = spark.read.parquet(f"{data}/sf0.01/documents.parquet")
+    got = langid.identified(d.where("doc_id % 2 = 1"), *langid.train(d.where("doc_id % 2 = 0"))).toPandas().merge(docs, on="doc_id")
     assert (got.language == got.lang).mean() > 0.97
 
 
+def test_scripts_without_blanks_are_learnt_and_told_apart(spark):
+    some = {"zh": "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65", "ja": "\u4eca\u65e5\u306f\u3068\u3066\u3082\u3044\u3044\u5929\u6c17\u3067\u3059\u306d", "th": "\u0e27\u0e31\u0e19\u0e19\u0e35\u0e49\u0e2d\u0e32\u0e01\u0e32\u0e28\u0e14\u0e35\u0e21\u0e32\u0e01", "en": "the weather is fine today and we walk in the park"}
+    d = spark.createDataFrame([(i, lang, t * 20) for i, (lang, t) in enumerate(some.items())], "doc_id bigint, lang string, text string")
+    got = {r["doc_id"]: r["language"] for r in langid.identified(d, *langid.train(d)).collect()}
+    assert got == {i: lang for i, lang in enumerate(some)}
+
+
 # 9 tokens
 
 
