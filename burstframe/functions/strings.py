@@ -66,9 +66,9 @@ def destination(verdict: Column, composed: Column, group_id: Column, path: Colum
     return F.concat_ws("/", folder, file_name(path))
 
 
-#: A model's ranking of images, one to a line, by rank or by image first.
-RANK_FIRST = r"(?i)rank\s*#?\s*(\d+)[^\n]{0,40}?image\s*#?\s*(\d+)[\s)*_]*[-:—–]\s*([^\n]+)"
-IMAGE_FIRST = r"(?i)image\s*#?\s*(\d+)[^\n]{0,40}?rank\s*#?\s*(\d+)[\s)*_]*[-:—–]\s*([^\n]+)"
+#: A model's ranking of images, one to a line: a place and a picture in either order, then a mark and the reason.
+PLACE, PICTURE, NEAR, REASON = r"(?:rank|排名|第)\s*#?\s*(\d+)", r"image\s*#?\s*(\d+)", r"[^\n]{0,40}?", r"[\s*_)]*[—–:-]\s*([^\n]+)"
+RANK_FIRST, IMAGE_FIRST = ("(?i)" + a + NEAR + b + REASON for a, b in ((PLACE, PICTURE), (PICTURE, PLACE)))
 
 
 def ranked_images(answer: Column) -> Column:

@@ -63,3 +63,26 @@ def store(cache: DataFrame, path: str) -> None:
     """Write the whole cache as a new generation; readers see the old one until the new one is complete."""
     done = _generations(cache.sparkSession, path)
     cache.write.mode("overwrite").parquet(f"{path}/g={done[-1] + 1 if done else 0}")
+    # Readers may still be at the last one; older ones go.
+    jvm = cache.sparkSession.sparkContext._jvm
+    for g in done[:-1]:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/g={g}")
+        folder.getFileSystem(cache.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+FACES = "array<struct<area:double,eye_open:double,smile:double,sharpness:double>>"
+
+
+def faces_json(faces: Column) -> Column:
+    """Faces as text for stores without structures; null stays null."""
+    return F.to_json(faces)
+
+
+def faces_of(text: Column) -> Column:
+    """Faces of such text; null if it is no JSON array."""
+    return F.from_json(F.when(F.trim(text).startswith("["), text), FACES)
+
+
+def row_count(cache: DataFrame) -> int:
+    """Rows of any version."""
+    return cache.count()

@@ -37,3 +37,8 @@ def reviewed(picks: DataFrame, overrides: DataFrame) -> DataFrame:
     turned = overrides.where("photo_id IS NOT NULL").select(F.col("photo_id").alias("o")).distinct()
     out = picks.join(turned, picks["photo_id"] == turned["o"], "left")
     return out.select("photo_id", ((F.col("verdict") == "kept") != F.col("o").isNotNull()).alias("keep"))
+
+
+def deletions(plan: DataFrame, photos: DataFrame) -> DataFrame:
+    """(photo_id, path): what applying the plan deletes, the rejected photos that have a path. Nothing is deleted here."""
+    return plan.where("verdict = 'rejected'").select("photo_id").join(photos.where("path IS NOT NULL").select("photo_id", "path"), "photo_id")

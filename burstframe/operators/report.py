@@ -36,18 +36,32 @@ def nested(groups: DataFrame, picks: DataFrame, group: str = "group_id") -> Data
     return rows.groupBy(group).agg(listed.alias("photos")).select(group, F.to_json(F.struct(F.col(group).alias("id"), "photos")).alias("report"))
 
 
-def page(reports: DataFrame, title: str = "Cull report", most: int = 10_000) -> str:
-    """A self-contained HTML page of nested reports; a page holds ``most`` groups, those of least id."""
+def page(reports: DataFrame, title: str = "Cull report", header: dict | None = None, compositions: DataFrame | None = None) -> str:
+    """A self-contained HTML page of all nested reports, by id, with a run's figures above and its compositions below.
+    The driver holds the page; for runs too large for one, ``write_page`` writes it in parts."""
     import json
 
     parts = [f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>"]
-    for row in reports.orderBy(reports.columns[0]).limit(most).collect():
-        one = json.loads(row["report"])
-        cells = "".join(f"<li class={p['verdict']}>{p['photo_id']} {p['verdict']}" + (f" #{p['rank']} {p['value']:.3f}" if "rank" in p else "") for p in one["photos"])
-        parts.append(f"<h2>{html.escape(str(one['id']))}</h2><ol>{cells}</ol>")
+    parts += [f"<p>{html.escape(k)}: {html.escape(str(v))}" for k, v in (header or {}).items()]
+    for name, some in (("", reports), ("<h1>Compositions</h1>", compositions)):
+        if some is None:
+            continue
+        parts.append(name)
+        for row in some.orderBy(some.columns[0]).toLocalIterator():
+            one = json.loads(row["report"])
+            cells = "".join(f"<li class={p['verdict']}>{p['photo_id']} {p['verdict']}" + (f" #{p['rank']} {p['value']:.3f}" if "rank" in p else "") for p in one["photos"])
+            parts.append(f"<h2>{html.escape(str(one['id']))}</h2><ol>{cells}</ol>")
     return "\n".join(parts)
 
 
+def write_page(reports: DataFrame, path: str) -> None:
+    """All groups as HTML text files below ``path``, in order of id from file to file; no machine holds them all."""
+    one = F.from_json("report", "id bigint, photos array<struct<photo_id:bigint,verdict:string,rank:int,value:double>>")
+    cell = lambda p: F.concat(F.lit("<li class="), p["verdict"], F.lit(">"), p["photo_id"].cast("string"), F.lit(" "), p["verdict"], F.coalesce(F.concat(F.lit(" #"), p["rank"].cast("string"), F.lit(" "), F.format_number(p["value"], 3)), F.lit("")))
+    text = F.concat(F.lit("<h2>"), F.col("one.id").cast("string"), F.lit("</h2><ol>"), F.array_join(F.transform("one.photos", cell), ""), F.lit("</ol>"))
+    reports.orderBy(reports.columns[0]).select(one.alias("one")).select(text.alias("value")).write.text(path)
+
+
 def snapshot(log: DataFrame) -> DataFrame:
     """(run_id, seq, kind, stage, done) that a late follower of each run is sent: every stage and finish, the last tick of every stage, and done.
 

@@ -73,3 +73,8 @@ def top_auto(scores: DataFrame, group: str = "group_id") -> DataFrame:
 
 def select(scores: DataFrame, k: int | None, group: str = "group_id") -> DataFrame:
     return top_k(scores, k, group) if k else top_auto(scores, group)
+
+
+def top_technical(scores: DataFrame, k: int, group: str = "group_id") -> DataFrame:
+    """Like ``top_k``, by the technical score alone."""
+    return top_k(scores.withColumn("value", F.col("tech")), k, group)

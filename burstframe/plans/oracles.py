@@ -19,6 +19,8 @@ def mixed(ids: str, name: str) -> str:
 
 
 FEATURES = mixed("SELECT photo_id FROM photos", "features")
+#: Arrays of a fixed length are multiplied many times faster than lists.
+VECTORS = "vectors AS MATERIALIZED (SELECT photo_id, e::DOUBLE[64] AS e FROM survivors)"
 SURVIVORS = mixed("SELECT vec_id AS photo_id FROM embeddings", "survivors")
 
 
@@ -151,9 +153,9 @@ def all_sql() -> dict[str, str]:
     base = (PHOTOS, DELTA, CANDIDATES)
     subsec = "CASE WHEN event_id % 2 = 0 THEN lpad((event_id % 1000)::VARCHAR, 3, '0') WHEN event_id % 3 = 0 THEN 'none' ELSE (event_id % 12345)::VARCHAR END"
     name = "split_part(path, '/', 2)"
-    answer = """chr(42) || '*Rank ' || (turn + 1) || ' (Image ' || (conv_id % 5 + 1) || ')**: ' || role || ' first' || chr(10) || 'Image #' || (conv_id % 5 + 2) || ' - Rank ' || (turn + 2) || ': *' || role || '*' || chr(10) || 'Rank 9 (Image ' || (conv_id % 5 + 1) || '): again'"""
-    first = r"(?i)rank\s*#?\s*(\d+)[^\n]{0,40}?image\s*#?\s*(\d+)[\s)*_]*[-:—–]\s*([^\n]+)"
-    second = r"(?i)image\s*#?\s*(\d+)[^\n]{0,40}?rank\s*#?\s*(\d+)[\s)*_]*[-:—–]\s*([^\n]+)"
+    answer = """chr(42) || '*Rank ' || (turn + 1) || ' (Image ' || (conv_id % 5 + 1) || ')**: ' || role || ' first' || chr(10) || 'Image #' || (conv_id % 5 + 2) || ' - Rank ' || (turn + 2) || ': *' || role || '*' || chr(10) || 'Rank 9 (Image ' || (conv_id % 5 + 1) || '): again' || chr(10) || '排名 ' || (turn + 3) || ' (Image ' || (conv_id % 5 + 3) || '): **' || role || '**' || chr(10) || 'Image ' || (conv_id % 5 + 4) || ' (第 ' || (turn + 4) || '): last'"""
+    first = r"(?i)(?:rank|排名|第)\s*#?\s*(\d+)[^\n]{0,40}?image\s*#?\s*(\d+)[\s)*_]*[-:—–]\s*([^\n]+)"
+    second = r"(?i)image\s*#?\s*(\d+)[^\n]{0,40}?(?:rank|排名|第)\s*#?\s*(\d+)[\s)*_]*[-:—–]\s*([^\n]+)"
     found = lambda p, image, rank, o: f"SELECT conv_id, turn, {o} AS o, unnest(range(len(regexp_extract_all(t, '{p}', 3)))) AS k, unnest(regexp_extract_all(t, '{p}', {image}))::INT AS image, unnest(regexp_extract_all(t, '{p}', {rank}))::INT AS rank, regexp_replace(unnest(regexp_extract_all(t, '{p}', 3)), '^[\\s*_]+|[\\s*_]+$', '', 'g') AS reason FROM a"
     q = {
         "adaptive_dt": chain(PHOTOS, DELTA, then="SELECT delta_s FROM delta"),
@@ -174,7 +176,7 @@ def all_sql() -> dict[str, str]:
         "topk_k1": chain(*PICKS, then="SELECT group_id, photo_id, rank, verdict, round(value, 9) AS value FROM picks"),
         "topk_k2_fixed": chain(FACES, PER_PHOTO, MEMBERS, *scored("composition_id"), ranks("composition_id", "scored", "picks", 2), then="SELECT composition_id, photo_id, rank, verdict FROM picks"),
         "auto_k2": chain(FACES, PER_PHOTO, MEMBERS, *scored("composition_id"), auto("composition_id", "scored", "picks"), then="SELECT composition_id, photo_id, rank, verdict FROM picks"),
-        "composition_edges": chain(SURVIVORS, then="SELECT s.photo_id AS a, t.photo_id AS b FROM survivors s JOIN survivors t ON s.photo_id < t.photo_id WHERE list_inner_product(s.e, t.e) > 0.93"),
+        "composition_edges": chain(SURVIVORS, VECTORS, then="SELECT s.photo_id AS a, t.photo_id AS b FROM vectors s JOIN vectors t ON s.photo_id < t.photo_id WHERE array_inner_product(s.e, t.e) > 0.93"),
         "raw_embedding_pairs_030": "SELECT s.vec_id AS a, t.vec_id AS b FROM embeddings s JOIN embeddings t ON s.vec_id < t.vec_id WHERE list_inner_product(s.embedding::DOUBLE[], t.embedding::DOUBLE[]) > 0.30",
         "plan_keep_reject": chain(*PICKS, PLAN, then="SELECT photo_id, CASE WHEN picked THEN 'picked' ELSE 'rejected' END AS verdict, CASE WHEN picked THEN 'picked/group_' || format('{:08x}', group_id) || '/' ELSE 'rejected/' END || name AS dest FROM plan"),
         "plan_composed": chain(*COMPOSED, then="SELECT m.photo_id, CASE WHEN k.photo_id IS NULL THEN 'rejected' ELSE 'picked' END AS verdict, CASE WHEN k.photo_id IS NULL THEN 'rejected/' ELSE 'picked/comp_' || format('{:08x}', k.composition_id) || '/' END || name AS dest FROM members m LEFT JOIN (SELECT * FROM made WHERE verdict = 'kept') k USING (photo_id)"),

@@ -135,5 +135,5 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A made-up model's answer for each turn of ``conversations``."""
     s = lambda c: c.cast("string")
     t, k = F.col("turn"), F.col("conv_id") % 5 + 1
-    line = F.concat(F.lit("**Rank "), s(t + 1), F.lit(" (Image "), s(k), F.lit(")**: "), F.col("role"), F.lit(" first\nImage #"), s(k + 1), F.lit(" - Rank "), s(t + 2), F.lit(": *"), F.col("role"), F.lit("*\nRank 9 (Image "), s(k), F.lit("): again"))
+    line = F.concat(F.lit("**Rank "), s(t + 1), F.lit(" (Image "), s(k), F.lit(")**: "), F.col("role"), F.lit(" first\nImage #"), s(k + 1), F.lit(" - Rank "), s(t + 2), F.lit(": *"), F.col("role"), F.lit("*\nRank 9 (Image "), s(k), F.lit("): again\n排名 "), s(t + 3), F.lit(" (Image "), s(k + 2), F.lit("): **"), F.col("role"), F.lit("**\nImage "), s(k + 3), F.lit(" (第 "), s(t + 4), F.lit("): last"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", line.alias("answer"))

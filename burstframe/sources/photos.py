@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from datetime import datetime, timezone
@@ -159,6 +160,14 @@ def described(files: DataFrame, compatible: bool = True) -> DataFrame:
     )
 
 
+def _path(spark: SparkSession, path: str) -> tuple[str, str, bool]:
+    """The full address of a path on whatever file system it names, the path in it, and whether it is a file."""
+    one = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = one.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    full = fs.makeQualified(one)
+    return full.toString(), full.toUri().getPath(), fs.exists(full) and fs.getFileStatus(full).isFile()
+
+
 def scan_directory(spark: SparkSession, root: str, compatible: bool = True) -> DataFrame:
     """Photos below a directory; names with a dot in front, the directory's own too, are passed over. NoPhotos if there are none.
 
@@ -168,18 +177,18 @@ def scan_directory(spark: SparkSession, root: str, compatible: bool = True) -> D
         raise NoPhotos(root)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     # Only names below the root count: a folder above it may well begin with a dot.
-    below = os.path.abspath(root).rstrip("/")
+    below = _path(spark, root)[1].rstrip("/")
     hidden = F.expr("substring(path, locate('" + below.replace("'", "''") + "', path) + " + str(len(below)) + ")").rlike(r"/\.[^/]+")
     return _some(described(found.where(~hidden), compatible), root)
 
 
 def scan_files(spark: SparkSession, paths: list[str], compatible: bool = True) -> DataFrame:
     """Photos of a list, with ``position`` in it; what is missing or of another kind is passed over. NoPhotos if nothing is left."""
-    usable = [p for p in paths if os.path.isfile(p)]
+    usable = [q for q, there in ((_path(spark, p)[0], _path(spark, p)[2]) for p in paths) if there]
     if not usable:
         raise NoPhotos("none of the files can be read")
-    found = spark.read.format("binaryFile").load([f"file://{os.path.abspath(p)}" for p in usable])
-    places = spark.createDataFrame([(f"file:{os.path.abspath(p)}", k) for k, p in enumerate(usable)], "listed string, position int")
+    found = spark.read.format("binaryFile").load(usable)
+    places = spark.createDataFrame([(re.sub("^file:/+", "file:/", p), k) for k, p in enumerate(usable)], "listed string, position int")
     out = described(found, compatible).join(places, F.regexp_replace("path", "^file:/+", "file:/") == F.col("listed")).drop("listed")
     return _some(out, str(paths))
 
