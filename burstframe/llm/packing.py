@@ -26,7 +26,7 @@ SIZES = (512, 1024, 2048, 4096, 8192)
 #: Cost of a sequence: a fixed part, a part for each token, and attention's part for each pair of tokens.
 FIXED, PER_PAIR = 64.0, 1 / 32768
 #: Bytes of text that a shard is made of on average; a document counts DOCUMENT of them besides, so that many short ones are no larger shard.
-PER_SHARD, DOCUMENT = 24 << 20, 1024
+PER_SHARD, DOCUMENT = 6 << 20, 1024
 #: The id that the vocabulary leaves free ends a document.
 END = 50_256
 SCHEMA = "shard bigint, bin bigint, size int, n_tokens int, doc_ids array<bigint>, pieces array<int>, starts array<bigint>, lengths array<int>, tokens array<int>"
@@ -106,6 +106,8 @@ def _pack(sizes: Sequence[int]):
             pa.array(np.full(len(size), key[0].as_py())), pa.array(np.arange(len(size))), pa.array(size, pa.int32()), pa.array(np.diff(ends[at]).astype(np.int32)),
             take("doc_id"), take("piece"), take("start"), _listed(at, pa.array(n[grouped].astype(np.int32))), _listed(ends[at], lists.take(pa.array(grouped)).flatten()),
         ]
+        del lists, shard
+        pa.default_memory_pool().release_unused()  # workers live on, and would keep the most that any shard took
         return pa.Table.from_arrays(columns, names=["shard", "bin", "size", "n_tokens", "doc_ids", "pieces", "starts", "lengths", "tokens"])
 
     return pack

@@ -24,7 +24,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: What ``pretokens`` cuts a text into, as the vocabulary's own rule.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens whose count a worker remembers; at this many it forgets them all and starts again.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
+#: Bytes of text that are handled at once.
+AT_ONCE = 1 << 20
 _NONE = np.int64(1) << np.int64(40)
 
 
@@ -244,7 +246,7 @@ class Tokenizer:
         """(tokens, pre-tokens) of each text; -1 for null."""
         column = texts.text_array(column)
         n_tokens, n_words = np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
-        for a, b in texts.chunks(column):
+        for a, b in texts.chunks(column, AT_ONCE):
             data, offsets = texts.buffers(column.slice(a, b - a))
             at, bounds = self._looked_up(data, offsets)
             n_tokens[a:b], n_words[a:b] = texts.sums_by(self.size[at], bounds), np.diff(bounds)
@@ -255,7 +257,7 @@ class Tokenizer:
     def tokens(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first text, end, tokens, where each text's tokens begin) of successive texts; a null has none."""
         column = texts.text_array(column)
-        for a, b in texts.chunks(column):
+        for a, b in texts.chunks(column, AT_ONCE):
             data, offsets = texts.buffers(column.slice(a, b - a))
             at, bounds = self._looked_up(data, offsets)
             size = self.size[at]
