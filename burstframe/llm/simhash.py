@@ -1,11 +1,11 @@
-"""Near duplicates: SimHash fingerprints and a binary-trie self-join.
+"""Near duplicates: SimHash fingerprints and a self-join by blocks of their bits.
 
 A document's fingerprint has 256 bits, 64 of them indexed, and sums the hashes of its
 distinct words (lower case). Two fingerprints are near if the indexed bits differ in at most
 ``budget`` places and all bits in at most ``budget_all``. The join is exact: it finds every
 such pair, at any size. Fingerprints that agree in some bits (by the pigeonhole principle; the more
-fingerprints, the more bits) are a task; one with more than ``per_task`` of them is split into pairs of nodes of its trie,
-until each fits into a worker, which goes on down the trie. Documents of equal fingerprint are one node; near
+fingerprints, the more bits) are a task; one too large for a worker is dealt to parts, every two of which are a task.
+A worker compares cells of rows, as matrices, with the cells that differ in few bits. Documents of equal fingerprint are one node; near
 nodes are joined into groups by connected components, and a group keeps its least doc_id.
 """
 
@@ -29,8 +29,8 @@ BUDGET, BUDGET_ALL = 11, 52
 #: The indexed bits are four blocks of 16; by the pigeonhole principle some block of a near pair
 #: differs in at most budget // 4 places. Of ``parts`` of that block all but budget // 4 agree.
 BLOCKS, BLOCK_BITS = 4, 16
-#: Fingerprints that a worker joins at once; bits of a trie that one step of splitting goes down.
-PER_TASK, STEP = 50_000, 4
+#: Fingerprints of a task on average, and times that many that a worker joins at most; rows of a cell that are compared at once.
+PER_TASK, LARGE, PER_CELL = 100_000, 4, 64
 #: Rows of tasks that are handed to a worker together, on average; small tasks would cost more to hand over than to do.
 PER_BUNDLE = 100_000
 #: Most parts of a block: with 8, and budget // 4 = 2, a fingerprint is in 28 tasks for each block, with those that share 12 bits.
@@ -106,90 +106,97 @@ def _bits(f: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(f).view(np.uint8).reshape(len(f), 32), axis=1, bitorder="little")
 
 
-def trie_join(f: np.ndarray, side: np.ndarray, own: bool, place: int, depth: int, err: int, parts: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of ``f`` (n, 4) whose indexed bits are within the budget: all pairs of one node, or of
-    the two that ``side`` tells apart, at ``depth`` of the place's trie with ``err`` bits that differ above.
+class Linked:
+    """Least row that each of ``n`` rows is linked with so far."""
 
-    The trie reads the bits in the place's order. It is traversed level by level
-    over node pairs, each with the bits that differ so far; a pair of nodes goes no deeper
-    once it has more than budget // 4 of them within the block, or ``budget`` in all. Nodes
-    are ranges of the sorted keys; node pairs below which few key pairs remain are compared at once.
-    A pair that an earlier place also finds is left to that one.
+    def __init__(self, n: int):
+        self.least = np.arange(n)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            i, j = self.least[i], self.least[j]
+            apart = i != j
+            i, j = i[apart], j[apart]
+            np.minimum.at(self.least, np.maximum(i, j), np.minimum(i, j))
+            while (up := self.least[self.least] != self.least).any():
+                self.least[up] = self.least[self.least[up]]
+
+
+def block_join(f: np.ndarray, side: np.ndarray, own: bool, place: int, parts: int, budget: int, budget_all: int, linked: Linked | None = None, at_once: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near pairs of rows of ``f`` (n, 4), which agree in the place's mask: all pairs, or those of the two that ``side`` tells apart.
+
+    Rows are sorted into cells by bits of the place's block that the mask leaves open, the more rows the more bits. The rows of a cell
+    are compared, ``at_once`` pairs at a time, with those of all cells that differ from it in at most budget // 4 of these bits.
+    A pair that an earlier place also finds is left to that one. ``linked`` gets the pairs too; those that it has linked already are passed over
+    where they are the bulk of a cell.
     """
     radius = budget // BLOCKS
-    places, orders = _places(parts, radius)
-    keys = np.ascontiguousarray(np.packbits(_bits(f)[:, orders[place, :64]], axis=1)).view(">u8")[:, 0].astype(np.uint64)
-    # Both nodes' keys part above ``depth``, so sorting leaves each in one piece.
-    order = np.lexsort((side, keys))
-    keys, n = keys[order], len(keys)
-    index = np.ascontiguousarray(f[:, 0])
-    cut_ = n if own else int(np.searchsorted(side[order] != side[order[0]], True))
-    if not own and cut_ == n:
-        return
-    a0, a1, b0, b1 = (np.array([x], np.int64) for x in ((0, n, 0, n) if own else (0, cut_, cut_, n)))
-    err = np.array([err], np.int64)
-    for level in range(depth, 64):
-        if len(a0) == 0:
-            break
-        allowed = radius if level < BLOCK_BITS else budget
-        size = (a1 - a0) * (b1 - b0)
-        if level >= BLOCK_BITS:
-            small = size <= 4096
-            yield from _compare(index, order, a0[small], a1[small], b0[small], b1[small], place, parts, budget)
-            a0, a1, b0, b1, err = (x[~small] for x in (a0, a1, b0, b1, err))
-            if len(a0) == 0:
-                break
-        bit = np.uint64(1) << np.uint64(63 - level)
-
-        def split(lo: np.ndarray, hi: np.ndarray, bit: np.uint64 = bit) -> np.ndarray:
-            base = keys[lo] & ~(bit | (bit - np.uint64(1)))
-            return np.clip(np.searchsorted(keys, base | bit), lo, hi)
-
-        am, bm = split(a0, a1), split(b0, b1)
-        same = (a0 == b0) & (a1 == b1)
-        out = []
-        for left, (al, ah) in enumerate(((a0, am), (am, a1))):
-            for right, (bl, bh) in enumerate(((b0, bm), (bm, b1))):
-                e = err + (left != right)
-                ok = (ah > al) & (bh > bl) & (e <= allowed)
-                if left and not right:
-                    ok &= ~same  # a node with itself: its mixed pair counts once
-                out.append((al[ok], ah[ok], bl[ok], bh[ok], e[ok]))
-        a0, a1, b0, b1, err = (np.concatenate(x) for x in zip(*out))
-    else:
-        yield from _compare(index, order, a0, a1, b0, b1, place, parts, budget)
-
-
-def _compare(index: np.ndarray, order: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, place: int, parts: int, budget: int, at_once: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    # A pair of large nodes is cut into pairs of their rows with the other, so that ``at_once`` bounds the memory.
-    wide = np.maximum(1, at_once // np.maximum(b1 - b0, 1))
-    many = -(-(a1 - a0) // wide)
-    of = np.repeat(np.arange(len(a0)), many)
-    step = (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)) * wide[of]
-    full = a1[of]
-    a0, whole = a0[of] + step, a0[of]
-    a1, b0, b1 = np.minimum(a0 + wide[of], full), b0[of], b1[of]
-    size = (a1 - a0) * (b1 - b0)
-    ends = np.cumsum(size)
-    start = 0
-    while start < len(size):
-        done = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, done + at_once, "right")))
-        s = slice(start, stop)
-        pair = np.repeat(np.arange(start, stop), size[s])
-        k = np.arange(len(pair)) - np.repeat(ends[s] - size[s] - done, size[s])
-        across = (b1 - b0)[pair]
-        i, j = a0[pair] + k // across, b0[pair] + k % across
-        ok = (i < j) | (whole[pair] != b0[pair])
-        i, j = order[i[ok]], order[j[ok]]
-        differ = index[i] ^ index[j]
-        ok = np.bitwise_count(differ) <= budget
-        i, j, differ = i[ok], j[ok], differ[ok]
-        ok = _first(differ, parts, budget) == place
-        i, j = i[ok], j[ok]
-        if len(i):
-            yield np.minimum(i, j), np.maximum(i, j)
-        start = stop
+    places, _ = _places(parts, radius)
+    block, mask = places[place]
+    open_bits = [k for k in range(BLOCK_BITS) if not mask >> k & 1][: max(0, (len(f) // PER_CELL).bit_length())]
+    cell = np.zeros(len(f), np.int64)
+    for k in open_bits:
+        cell = cell << 1 | (f[:, 0] >> np.uint64(BLOCK_BITS * block + k) & np.uint64(1)).astype(np.int64)
+    order = np.lexsort((side, cell))
+    sorted_cells, sides, index = cell[order], side[order], f[order, 0]
+    last = 1 << len(open_bits)
+    edges = np.searchsorted(sorted_cells, np.arange(last + 1))
+    near = np.array(sorted((x for x in range(last) if x.bit_count() <= radius), key=lambda x: (x.bit_count(), x)), np.int64)
+
+    def compare(left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``left`` and ``right`` are places in the order; if ``same``, only pairs in order count."""
+        wide = max(1, at_once // max(len(right), 1))
+        for lo in range(0, len(left), wide):
+            part = left[lo : lo + wide]
+            for first in range(0, len(right), at_once):
+                other = right[first : first + at_once]
+                x, y = np.divmod(np.flatnonzero(np.bitwise_count(index[part][:, None] ^ index[other]) <= budget), len(other))
+                i, j = part[x], other[y]
+                if same:
+                    i, j = i[i < j], j[i < j]
+                ok = _first(index[i] ^ index[j], parts, budget) == place
+                i, j = order[i[ok]], order[j[ok]]
+                ok = np.bitwise_count(f[i] ^ f[j]).sum(axis=1, dtype=np.int64) <= budget_all
+                i, j = i[ok], j[ok]
+                if len(i):
+                    if linked is not None:
+                        linked.add(i, j)
+                    yield np.minimum(i, j), np.maximum(i, j)
+
+    def apart(left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """As ``compare``, but without the pairs within the largest group that ``linked`` knows."""
+        if linked is None or len(left) * len(right) <= at_once:
+            yield from compare(left, right, same)
+            return
+        step = max(1, at_once // len(right))
+        for lo in range(0, len(left), step):
+            part = left[lo : lo + step]
+            name, other = linked.least[order[part]], linked.least[order[right]]
+            names, counts = np.unique(other, return_counts=True)
+            bulk = names[counts.argmax()]
+            if counts.max() * 2 < len(right):
+                yield from compare(part, right, same)
+                continue
+            yield from compare(part[name != bulk], right, same)
+            yield from compare(part[name == bulk], right[other != bulk], same)
+
+    for c in np.flatnonzero(np.diff(edges)).tolist():
+        mine = np.arange(edges[c], edges[c + 1])
+        if own:
+            others = (c ^ near)[(c ^ near) > c]
+            yield from apart(mine, mine, True)
+        else:
+            others = c ^ near
+            mine = mine[sides[mine] == 0]
+        others = others[edges[others + 1] > edges[others]]
+        if not len(others) or not len(mine):
+            continue
+        n = edges[others + 1] - edges[others]
+        right = np.repeat(edges[others] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        if not own:
+            right = right[sides[right] == 1]
+        if len(right):
+            yield from apart(mine, right, False)
 
 
 def _first(differ: np.ndarray, parts: int, budget: int) -> np.ndarray:
@@ -202,114 +209,56 @@ def _first(differ: np.ndarray, parts: int, budget: int) -> np.ndarray:
     return out
 
 
-_NAMES = ("task", "place", "depth", "err", "own", "side", "node", "f0", "f1", "f2", "f3")
-_KINDS = ("bigint", "int", "int", "int", "boolean", "int", "bigint", "bigint", "bigint", "bigint", "bigint")
-_MEMBER = ", ".join(map(" ".join, zip(_NAMES, _KINDS)))
-
-
-def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    return {n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(batch.schema.names)}
-
-
-def _step(depth: np.ndarray) -> np.ndarray:
-    """Levels that a split goes down: STEP, but not beyond the block, the indexed bits or all bits."""
-    return np.minimum(STEP, np.where(depth < BLOCK_BITS, BLOCK_BITS, np.where(depth < 64, 64, 256)) - depth)
-
-
-def _child(parts: int, radius: int):
-    """Members of large tasks with the child node ``x`` of their node that each is in; bits that all of the task share are skipped first."""
-
-    def child(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = _places(parts, radius)[1]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            col = _columns(batch)
-            order = orders[col["place"]]
-            some = _bits(np.stack([col[f"and{k}"] ^ col[f"or{k}"] for k in range(4)], axis=1))
-            differs = np.take_along_axis(some, order, axis=1).astype(bool) & (np.arange(256) >= col["depth"][:, None])
-            depth = differs.argmax(axis=1).astype(np.int64)
-            bits = np.take_along_axis(_bits(np.stack([col[f"f{k}"] for k in range(4)], axis=1)), order, axis=1)
-            x, step = np.zeros(len(depth), np.int32), _step(depth)
-            for k in range(STEP):
-                x = np.where(k < step, x << 1 | bits[np.arange(len(x)), np.minimum(depth + k, 255)], x)
-            at = {**{n: batch.column(k) for k, n in enumerate(batch.schema.names)}, "depth": pa.array(depth.astype(np.int32)), "x": pa.array(x.astype(np.int32))}
-            yield pa.RecordBatch.from_arrays([at[n] for n in (*_NAMES, "x")], names=[*_NAMES, "x"])
-
-    return child
-
-
-def _split(radius: int, budget: int, budget_all: int):
-    """Members of large tasks, each to the pairs of child nodes that may hold a partner: ``seen`` tells which there are."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            col = _columns(batch)
-            depth = col["depth"].astype(np.int64)
-            below = depth + _step(depth)
-            allowed = np.where(below <= BLOCK_BITS, radius, np.where(below <= 64, budget, budget_all))
-            out = []
-            for y in range(1 << STEP):
-                e = col["err"] + np.bitwise_count(col["x"] ^ y)
-                ok = np.flatnonzero((col["seen"] >> y & 1 == 1) & (e <= allowed))
-                mine, other, own, side = col["x"][ok], np.full(len(ok), y), col["own"][ok].astype(bool), col["side"][ok]
-                swap = np.where(own, mine > other, side == 1)
-                low, high = np.where(swap, other, mine), np.where(swap, mine, other)
-                task = texts.mix(col["task"][ok].view(np.uint64) ^ texts.mix((low << STEP | high).astype(np.uint64) + np.uint64(1))).view(np.int64)
-                out.append((task, ok, e[ok], own & (mine == other), np.where(own, swap, side)))
-            task, ok, e, own, side = (np.concatenate(c) for c in zip(*out))
-            for lo in range(0, len(ok), 50_000):
-                s = slice(lo, lo + 50_000)
-                k = ok[s]
-                yield pa.RecordBatch.from_arrays([pa.array(task[s]), pa.array(col["place"][k]), pa.array(below[k].astype(np.int32)), pa.array(e[s].astype(np.int32)), pa.array(own[s]), pa.array(side[s].astype(np.int32)), *(pa.array(col[n][k]) for n in _NAMES[6:])], names=_NAMES)
-
-    return split
-
-
-def near_pairs(prints: DataFrame, budget: int = BUDGET, budget_all: int = BUDGET_ALL, per_task: int = PER_TASK) -> DataFrame:
+def near_pairs(prints: DataFrame, budget: int = BUDGET, budget_all: int = BUDGET_ALL, per_task: int = PER_TASK, links: bool = False) -> DataFrame:
     """(a, b): node ids of near fingerprints. ``prints`` has node and f0 .. f3, one row for each fingerprint.
 
     Every fingerprint is in one task for each place, by its bits there; in a task
-    all agree in those bits and the trie join finds the near pairs. A task of more than ``per_task`` is split as often as it takes.
+    all agree in those bits and near pairs are found cell by cell. A task of more than LARGE * ``per_task`` is dealt to parts by a hash, and
+    every two parts are a task of at most about that size. ``links``: what a worker finds is given as links from each node to
+    the least one that it is connected with there: the same groups, and no more rows than members.
     """
     radius = budget // BLOCKS
     n = prints.count()
     parts = parts_for(n, radius, per_task)
     places, _ = _places(parts, radius)
+    most = LARGE * per_task
     bundles = max(64, n * len(places) // PER_BUNDLE)
-    value = [F.struct(F.lit(k).alias("place"), F.lit(mask.bit_count()).alias("depth"), F.shiftrightunsigned("f0", BLOCK_BITS * block).bitwiseAND(F.lit(mask)).alias("value")) for k, (block, mask) in enumerate(places)]
-    current = prints.select("node", "f0", "f1", "f2", "f3", F.explode(F.array(*value)).alias("t")).select(F.xxhash64("t.place", "t.value").alias("task"), "t.place", "t.depth", F.lit(0).alias("err"), F.lit(True).alias("own"), F.lit(0).alias("side"), "node", "f0", "f1", "f2", "f3")
-    tasks = None
-    while True:
-        common = [F.expr(f"bit_{kind}(f{k})").alias(f"{kind}{k}") for kind in ("and", "or") for k in range(4)]
-        large = cut(current.groupBy("task").agg(F.count("*").alias("n"), *common).where(F.col("n") > per_task).drop("n"))
-        some = not large.isEmpty()
-        fit = current.join(large, "task", "left_anti") if some else current
-        tasks = fit if tasks is None else tasks.unionByName(fit)
-        if not some:
-            break
-        placed = cut(current.join(large, "task").mapInArrow(_child(parts, radius), _MEMBER + ", x int"))
-        # Sixteen children at most are a number of bits; a node with no partner is sent nowhere.
-        seen = placed.groupBy("task", "own", "side").agg(F.expr("bit_or(shiftleft(1, x))").alias("seen")).select("task", F.when(F.col("own"), F.col("side")).otherwise(1 - F.col("side")).alias("side"), "seen")
-        current = cut(placed.join(seen, ["task", "side"]).select(*_NAMES, "x", "seen").mapInArrow(_split(radius, budget, budget_all), _MEMBER))
+    # A task's number is exact: place and bits, and below them two parts.
+    value = [F.shiftleft(F.lit(k).cast("bigint"), BLOCK_BITS).bitwiseOR(F.shiftrightunsigned("f0", BLOCK_BITS * block).bitwiseAND(F.lit(mask))) for k, (block, mask) in enumerate(places)]
+    four = ("f0", "f1", "f2", "f3")
+    every = prints.select("node", *four, F.explode(F.array(*value)).alias("at"))
+    large = cut(every.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > most).select("at", F.ceil(2 * F.col("n") / most).cast("int").alias("deal")))
+    both = F.expr("shiftleft(at, 32)")
+    if large.isEmpty():
+        tasks = every.select(both.alias("task"), F.lit(0).alias("side"), "node", *four)
+    else:
+        # A row of ``large`` stands for ``most`` rows at least, so it is small beside the table.
+        dealt = every.join(F.broadcast(large), "at", "left").withColumn("deal", F.coalesce("deal", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("node", "f0", "f1"), "deal").cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)))
+        tasks = dealt.select((both + F.least("mine", "other") * 65536 + F.greatest("mine", "other")).alias("task"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"), "node", *four)
 
     def join(bundle: pa.Table) -> pa.Table:
-        col = {c: bundle.column(c).to_numpy() for c in bundle.column_names}
-        order = np.argsort(col["task"], kind="stable")
-        col = {c: v[order] for c, v in col.items()}
-        f = np.stack([col[f"f{k}"] for k in range(4)], axis=1).view(np.uint64)
-        cuts = np.flatnonzero(np.append(True, col["task"][1:] != col["task"][:-1]))
+        task = bundle.column("task").to_numpy()
+        order = np.argsort(task, kind="stable")
+        task, node, side = task[order], bundle.column("node").to_numpy()[order], bundle.column("side").to_numpy()[order]
+        f = np.empty((len(order), 4), np.uint64)
+        for k, name in enumerate(four):
+            f[:, k] = bundle.column(name).to_numpy().view(np.uint64)[order]
+        cuts = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
             if hi - lo < 2:
                 continue
-            for i, j in trie_join(f[lo:hi], col["side"][lo:hi], bool(col["own"][lo]), int(col["place"][lo]), int(col["depth"][lo]), int(col["err"][lo]), parts, budget):
-                i, j = i + lo, j + lo
-                ok = np.bitwise_count(f[i] ^ f[j]).sum(axis=1, dtype=np.int64) <= budget_all
-                a.append(col["node"][i[ok]])
-                b.append(col["node"][j[ok]])
+            t = int(task[lo])
+            linked = Linked(hi - lo) if links else None
+            for i, j in block_join(f[lo:hi], side[lo:hi], t >> 16 & 65535 == t & 65535, t >> 32 + BLOCK_BITS, parts, budget, budget_all, linked):
+                if not links:
+                    a.append(node[i + lo])
+                    b.append(node[j + lo])
+            if links:
+                i = np.flatnonzero(linked.least != np.arange(hi - lo))
+                a.append(node[i + lo])
+                b.append(node[linked.least[i] + lo])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return tasks.withColumn("bundle", F.pmod(F.xxhash64("task"), F.lit(bundles))).groupBy("bundle").applyInArrow(join, "a bigint, b bigint")
@@ -325,7 +274,7 @@ def _groups(prints: DataFrame, budget: int, budget_all: int) -> DataFrame:
         raise ValueError("budget must be from 0 to 63")
     nodes = cut(prints.groupBy("f0", "f1", "f2", "f3").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
     # Node ids are doc_ids; where one id has several fingerprints they are one node already.
-    edges = near_pairs(nodes, budget, budget_all).where("a <> b")
+    edges = near_pairs(nodes, budget, budget_all, links=True).where("a <> b")
     components = connected_components(edges, "a", "b").withColumnsRenamed({"node": "c_node", "component": "c_component"})
     grouped = nodes.join(components, nodes["node"] == components["c_node"], "left").where("n > 1 OR c_component IS NOT NULL").select("f0", "f1", "f2", "f3", F.coalesce("c_component", "node").alias("group_doc_id"))
     return prints.join(grouped, ["f0", "f1", "f2", "f3"]).groupBy("doc_id").agg(F.min("group_doc_id").alias("group_doc_id")).withColumn("kept", F.col("doc_id") == F.col("group_doc_id"))

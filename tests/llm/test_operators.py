@@ -502,6 +502,30 @@ def test_trie_join_finds_every_pair_once(spark, budget, per_task):
     assert sorted(got) == [(i, j) for i in range(n) for j in range(i + 1, n) if one[i, j] <= budget and all_[i, j] <= 52]
 
 
+def test_a_crowd_gives_few_links_and_the_same_groups(spark, monkeypatch):
+    """Links grow with the documents of a crowd, not with its pairs; also where a task is dealt to parts."""
+    rng = np.random.default_rng(1)
+    centres = rng.integers(0, 2**63, (4, 4), dtype=np.int64)
+    crowd = np.array([centres[i % 2] ^ np.array([1 << int(rng.integers(63)), 1 << int(rng.integers(63)), 1 << int(rng.integers(63)), 0]) for i in range(800)])
+    chain = np.array([centres[2 + i % 2] ^ np.array([(1 << 6 * (i // 2)) - 1, 0, 0, 0]) for i in range(20)])
+    f = np.unique(np.concatenate([crowd, chain, rng.integers(0, 2**63, (100, 4), dtype=np.int64)]), axis=0)
+    f = f[rng.permutation(len(f))]
+    n, x = len(f), (f[:, None] ^ f[None]).view(np.uint64)
+    near = (np.bitwise_count(x[:, :, 0]) <= 11) & (np.bitwise_count(x).sum(axis=2) <= 52)
+    least = np.arange(n)
+    while (step := np.where(near, least[None], n).min(axis=1)).tolist() != least.tolist():
+        least = step
+    prints = spark.createDataFrame([(i, *map(int, r)) for i, r in enumerate(f)], "doc_id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+    given = []
+    monkeypatch.setattr(simhash, "connected_components", lambda edges, a, b, real=simhash.connected_components: given.append(edges.count()) or real(edges, a, b))
+    many = simhash.near_pairs
+    for per_task in (50_000, 20):
+        monkeypatch.setattr(simhash, "near_pairs", lambda nodes, *budgets, per_task=per_task, **more: many(nodes, *budgets, per_task, **more))
+        got = {r["doc_id"]: r["group_doc_id"] for r in simhash._groups(prints, 11, 52).collect()}
+        assert got == {i: g for i, g in enumerate(least.tolist()) if (least == g).sum() > 1}
+    assert given[0] < 2 * n < near.sum() // 20
+
+
 def test_more_fingerprints_share_more_bits():
     assert [simhash.parts_for(n, 2) for n in (10, 10**6, 5 * 10**6, 10**7, 10**9)] == [3, 3, 4, 4, 8] and simhash.parts_for(10**12, 0) == 1
     for parts, radius in ((3, 2), (8, 2), (5, 1), (1, 0)):
