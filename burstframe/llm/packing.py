@@ -107,7 +107,7 @@ def _pack(sizes: Sequence[int]):
             take("doc_id"), take("piece"), take("start"), _listed(at, pa.array(n[grouped].astype(np.int32))), _listed(ends[at], lists.take(pa.array(grouped)).flatten()),
         ]
         del lists, shard
-        pa.default_memory_pool().release_unused()  # workers live on, and would keep the most that any shard took
+        texts.give_back()
         return pa.Table.from_arrays(columns, names=["shard", "bin", "size", "n_tokens", "doc_ids", "pieces", "starts", "lengths", "tokens"])
 
     return pack
@@ -133,6 +133,7 @@ def pack(docs: DataFrame, sizes: Sequence[int] = SIZES, vocabulary: str = VOCABU
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from pieces(batch, sizes[-1], vocabulary)
+        texts.give_back()
 
     every = rows.mapInArrow(cut_up, "row bigint, doc_id bigint, piece int, start bigint, tokens array<int>")
     return every.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards))).groupBy("shard").applyInArrow(_pack(sizes), SCHEMA)

@@ -55,7 +55,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     """A row of STATISTICS for each text, over the whole text; null and empty texts give zeros."""
     column = texts.text_array(column)
     out = np.zeros((len(column), len(STATISTICS)))
-    for a, b in texts.chunks(column):
+    for a, b in texts.chunks(column, texts.FEW_BYTES):
         n = b - a
         data, offsets = texts.buffers(column.slice(a, n))
         size = np.maximum(np.diff(offsets), 1).astype(float)
@@ -191,6 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
         for batch in batches:
             x = statistics(batch.column(0))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "id", "x"])
+        texts.give_back()
 
     rows = _labelled(docs, labels, "quality", sample).mapInArrow(measure, "y int, id bigint, x array<double>").toPandas()
     rows = rows.sort_values("id", kind="stable")
@@ -209,6 +210,7 @@ def scored(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataF
         for batch in batches:
             s = _score(batch.column(1), trees)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array(s >= threshold)], names=["doc_id", "quality", "keep"])
+        texts.give_back()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(score, "doc_id bigint, quality double, keep boolean")
 
@@ -231,5 +233,6 @@ def keep_good(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> Da
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_score(batch.column(at), trees) >= threshold))
+        texts.give_back()
 
     return docs.mapInArrow(good, docs.schema)

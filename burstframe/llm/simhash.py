@@ -42,7 +42,7 @@ def fingerprints(column: pa.Array) -> np.ndarray:
     """Four uint64 for each text. A text without words is hashed as a whole, so only equal ones agree."""
     column = texts.text_array(column)
     out = np.zeros((len(column), 4), np.uint64)
-    for a, b in texts.chunks(column):
+    for a, b in texts.chunks(column, texts.FEW_BYTES):
         raw = column.slice(a, b - a)
         data, offsets = texts.buffers(pc.utf8_lower(raw))
         starts, ends, text = texts.spans(data, offsets, texts.IS_WORD)
@@ -74,6 +74,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     for batch in batches:
         f = fingerprints(batch.column(1)).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(f[:, k]) for k in range(4))], names=["doc_id", "f0", "f1", "f2", "f3"])
+    texts.give_back()
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
@@ -259,7 +260,10 @@ def near_pairs(prints: DataFrame, budget: int = BUDGET, budget_all: int = BUDGET
                 i = np.flatnonzero(linked.least != np.arange(hi - lo))
                 a.append(node[i + lo])
                 b.append(node[linked.least[i] + lo])
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+        out = pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+        del task, node, side, f, order, bundle
+        texts.give_back()
+        return out
 
     return tasks.withColumn("bundle", F.pmod(F.xxhash64("task"), F.lit(bundles))).groupBy("bundle").applyInArrow(join, "a bigint, b bigint")
 

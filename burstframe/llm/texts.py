@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):
+    _trim = None  # another C library
+
 CHUNK_BYTES = 2 << 20
+#: Where a worker's temporaries are many times the text.
+FEW_BYTES = 1 << 19
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 12, 13, 32]] = True
@@ -48,6 +56,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def give_back() -> None:
+    """Memory that is free goes back to the system: workers live on, and would keep the most that any task took."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def text_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """A string column as one large-offset-free Arrow array."""
     if isinstance(column, pa.ChunkedArray):

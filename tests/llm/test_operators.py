@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -561,3 +562,13 @@ def test_spans_and_hashes_do_not_depend_on_place():
     starts, ends, text = texts.spans(data, offsets, texts.IS_INK)
     h = texts.span_hashes(data, starts, ends).tolist()
     assert text.tolist() == [0, 0, 1, 1, 3] and h[0] == h[3] and h[1] == h[2] and len(set(h)) == 3
+
+
+def test_a_worker_needs_little_memory_beside_the_text():
+    column = pa.array([f"{'some words of a text of usual length, ' * 50}{i}" for i in range(4000)])
+    for f in (quality.statistics, simhash.fingerprints):
+        f(column[:10])
+        tracemalloc.start()
+        f(column)
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+        tracemalloc.stop()
