@@ -50,3 +50,22 @@ def test_vectors_longer_than_one_are_compared_all(spark):
     df = spark.createDataFrame(list(enumerate(v)), VECTOR)
     got = {r["photo_id"]: r["composition_id"] for r in compositions.compositions(df, similarity=0.93).collect()}
     assert got == brute(np.array(v), 0.93, 0.88)
+
+
+def test_export_names_of_many_families_in_one_call(spark, monkeypatch):
+    """Families are named a task at a time, and as if each name given were looked up."""
+    import random
+
+    from pyspark.sql.group import GroupedData
+
+    from burstframe.functions.strings import unused_name
+    from burstframe.operators import sinks
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", None)
+    r = random.Random(3)
+    names = [r.choice(("a", "b", "", ".x", "a.b")) + r.choice(("", " (2)", " (3)", " (02)", " (2) (2)", " (10)")) + r.choice((".jpg", ".", "", ".jpg (2)")) for _ in range(400)]
+    taken = ["a.jpg", "a (3).jpg", "b"]
+    got = {x["photo_id"]: x["exported"] for x in sinks.export_names(spark.createDataFrame(list(enumerate(names)), "photo_id bigint, name string"), taken).collect()}
+    used = set(taken)
+    want = {i: unused_name(n, used) for i, n in enumerate(names)}
+    assert got == want and len(set(got.values())) == len(names)
