@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import unit
-from ..session import table
+from ..session import spread, table
 
 WIDTH, HEIGHT = 72, 64
+#: Pictures that a task draws and looks at.
+PICTURES = 1000
 
 
 def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +110,8 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
             n = b.num_rows
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([WIDTH] * n, pa.int32()), pa.array([HEIGHT] * n, pa.int32()), pa.array(out, pa.binary()), pa.array([float(i % 4) for i in b.column(0).to_pylist()]), pa.array([100 * (i % 5) for i in b.column(0).to_pylist()], pa.int32())], names=["photo_id", "width", "height", "rgb", "ev", "iso"])
 
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("photo_id")).mapInArrow(draw, "photo_id bigint, width int, height int, rgb binary, ev double, iso int")
+    ids = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("photo_id"))
+    return spread(ids, "photo_id", PICTURES).mapInArrow(draw, "photo_id bigint, width int, height int, rgb binary, ev double, iso int")
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,5 +59,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def spread(keys: DataFrame, by: str, rows: int) -> DataFrame:
+    """``keys`` dealt to tasks of about ``rows`` rows, and to as many as the cluster has cores at least: a small file is one task, however
+    much work each of its rows stands for."""
+    n, cores = keys.count(), keys.sparkSession.sparkContext.defaultParallelism
+    return keys.repartition(max(1, min(n, cores), -(-n // rows)), by)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -69,3 +69,15 @@ def test_export_names_of_many_families_in_one_call(spark, monkeypatch):
     used = set(taken)
     want = {i: unused_name(n, used) for i, n in enumerate(names)}
     assert got == want and len(set(got.values())) == len(names)
+
+
+@pytest.mark.parametrize("name", ["exposure_px", "wb_px", "sharpness_px", "noise_px", "aesthetic_px", "composition_px"])
+def test_pictures_are_dealt_to_tasks_and_one_score_is_worked_out(spark, data, name):
+    from burstframe.operators import features
+    from burstframe.plans import catalogue, tables
+
+    got = catalogue.queries()[name](spark, f"{data}/sf0.01")
+    assert got.rdd.getNumPartitions() == 4
+    column = got.columns[1]
+    every = features.extracted(tables.images(spark, f"{data}/sf0.01")).collect()
+    assert {r[0]: r[1] for r in got.collect()} == {r["photo_id"]: round(r[column], 9) for r in every}
