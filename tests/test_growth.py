@@ -81,3 +81,45 @@ def test_pictures_are_dealt_to_tasks_and_one_score_is_worked_out(spark, data, na
     column = got.columns[1]
     every = features.extracted(tables.images(spark, f"{data}/sf0.01")).collect()
     assert {r[0]: r[1] for r in got.collect()} == {r["photo_id"]: round(r[column], 9) for r in every}
+
+
+def test_sketches_and_vectors_give_the_same_edges(spark):
+    """Cosines on both sides of the threshold, closer to it than sketches can tell, and vectors that have no sketch."""
+    from burstframe.operators import bursts
+
+    angles = np.arccos(0.95) + np.array([-1e-3, -1e-5, -1e-7, 1e-7, 1e-5, 1e-3])
+    v = [[1.0, 0.0], *([float(np.cos(x)), float(np.sin(x))] for x in angles), [3.0, 0.1], [0.97, 0.0], None, [1.0], [float("nan"), 0.0]]
+    photos = spark.createDataFrame([(i, i * 1000, None) for i in range(len(v))], "photo_id bigint, us bigint, burst_id string")
+    features = spark.createDataFrame([(i, x, 0 if i > 8 else -1) for i, x in enumerate(v)], "photo_id bigint, embedding array<double>, phash bigint")
+    got = {(r["a"], r["b"]) for r in bursts.similar_edges(photos, features, 1.0, 0.95, 6).collect()}
+    want = set()
+    for b in range(len(v)):
+        for a in range(b):
+            if v[a] is not None and v[b] is not None and len(v[a]) == len(v[b]):
+                if sum(p * q for p, q in zip(v[a], v[b])) > 0.95 or 11 in (a, b):  # Spark's NaN is above all
+                    want.add((a, b))
+            elif a > 8 and b > 8:
+                want.add((a, b))
+    assert got == want
+
+
+def test_pairs_of_photos_carry_no_whole_vectors(spark, data):
+    """The joins of pairs read sketches only."""
+    from burstframe.operators import bursts
+
+    n, r = 4000, np.random.default_rng(0)
+    v = r.normal(size=(n, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    photos = spark.createDataFrame([(i, i * 500_000, None) for i in range(n)], "photo_id bigint, us bigint, burst_id string")
+    seen = []
+    real = bursts.cut
+    bursts.cut = lambda df: seen.append(df) or real(df)
+    try:
+        bursts.similar_edges(photos, spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "photo_id bigint, embedding array<double>, phash bigint"), 1.0, 0.95, 6)
+    finally:
+        bursts.cut = real
+    # What the upper join puts out: ids, sketches, widths and hashes.
+    join = seen[0]._jdf.queryExecution().optimizedPlan()
+    while "Join" not in join.nodeName():
+        join = join.children().head()
+    assert "a_sketch" in join.output().toString() and "embedding" not in join.output().toString() and "_vec" not in join.output().toString()
