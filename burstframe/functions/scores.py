@@ -49,8 +49,9 @@ def face_bonus(faces: Column) -> Column:
     n = F.size(faces)
     opened = F.size(F.filter(faces, lambda f: ~F.coalesce(f["eye_open"] < 0.3, F.lit(False))))
     coverage = F.when(opened >= F.ceil(n * 0.8), F.lit(1.0)).otherwise(opened / n)
-    total = F.aggregate(F.transform(faces, face_quality), F.lit(0.0), lambda s, x: s + x)
-    return F.when(faces.isNotNull() & (n > 0), clamp(total / n * coverage)).otherwise(F.lit(0.0))
+    total = F.aggregate(faces, F.lit(0.0), lambda s, f: s + face_quality(f))
+    # Through an array of one, since clamp looks at its number twice.
+    return F.when(faces.isNotNull() & (n > 0), F.transform(F.array(total / n * coverage), lambda x: clamp(x))[0]).otherwise(F.lit(0.0))
 
 
 def sigmoid(x: Column) -> Column:

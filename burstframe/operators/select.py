@@ -34,7 +34,9 @@ def scored(members: DataFrame, config: CullConfig = CullConfig(), group: str = "
     normal = lambda s: F.when(s.isNotNull(), F.when(F.col("__faces") >= 2, standing(s, F.col("__middle"), F.col("__spread"))).otherwise(0.5))
     faces = F.transform("faces", lambda f: f.withField("sharpness", normal(f["sharpness"].cast("double"))))
     pool = pool.withColumns({"__faces_now": faces, "sharpness": F.when(F.col("__members") == 1, F.lit(0.5)).otherwise(standing(F.col("sharpness_raw"), F.col("__mean"), F.col("__dev")))})
-    count, largest = F.size("__faces_now"), F.coalesce(F.array_max(F.transform("__faces_now", lambda f: f["area"])), F.lit(0.0))
+    # Columns of their own, so that they aren't worked out again for each weight.
+    pool = pool.withColumns({"__count": F.size("__faces_now"), "__largest": F.coalesce(F.array_max(F.transform("__faces_now", lambda f: f["area"])), F.lit(0.0))})
+    count, largest = F.col("__count"), F.col("__largest")
     tech = clamp(config.w_exposure * F.col("exposure") + config.w_wb * F.col("wb") + config.w_sharpness * F.col("sharpness") + config.w_noise * F.col("noise"))
     out = pool.select(
         group, "photo_id", "us", scene(count, largest).alias("scene"), "sharpness", tech.alias("tech"),

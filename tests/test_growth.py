@@ -123,3 +123,28 @@ def test_pairs_of_photos_carry_no_whole_vectors(spark, data):
     while "Join" not in join.nodeName():
         join = join.children().head()
     assert "a_sketch" in join.output().toString() and "embedding" not in join.output().toString() and "_vec" not in join.output().toString()
+
+
+def test_largest_face_is_worked_out_once(spark, data):
+    from burstframe.operators import select
+    from burstframe.plans import tables
+
+    plan = select.scored(tables.members(spark, f"{data}/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_max(") == 1
+
+
+def test_pivots_are_picked_without_moving_vectors(spark, monkeypatch):
+    """The first batch of pivots reaches the vectors as a broadcast."""
+    from pyspark.sql import DataFrame
+
+    seen = []
+    real = DataFrame.toArrow
+    monkeypatch.setattr(DataFrame, "toArrow", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    monkeypatch.setattr(compositions, "SENT", 20)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(near_some(5))], VECTOR)
+        compositions.compositions(df, similarity=0.93)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert seen and "BroadcastHashJoin" in seen[0] and "SortMergeJoin" not in seen[0]
