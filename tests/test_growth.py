@@ -135,11 +135,9 @@ def test_largest_face_is_worked_out_once(spark, data):
 
 def test_pivots_are_picked_without_moving_vectors(spark, monkeypatch):
     """The first batch of pivots reaches the vectors as a broadcast."""
-    from pyspark.sql import DataFrame
-
-    seen = []
-    real = DataFrame.toArrow
-    monkeypatch.setattr(DataFrame, "toArrow", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    seen, kind = [], type(spark.range(1))
+    real = kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
     monkeypatch.setattr(compositions, "SENT", 20)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
